@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from .bpe import op1_bpe
 from .decontaminate import op6_decontaminate
+from .html import op2_html
+from .licenses import OP5_SQL, op5_licenses
 from .ogg import op3_ogg
+from .quality import op10_quality
+from .toxicity import op4_toxicity
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_ogg": op3_ogg, "op6_decontaminate": op6_decontaminate}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_html": op2_html,
+    "op3_ogg": op3_ogg,
+    "op4_toxicity": op4_toxicity,
+    "op5_licenses": op5_licenses,
+    "op6_decontaminate": op6_decontaminate,
+    "op10_quality": op10_quality,
+}
+SQL: dict[str, str] = {"op5_licenses": OP5_SQL}
