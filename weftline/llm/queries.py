@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op1_bpe
 from .decontaminate import op6_decontaminate
 from .html import op2_html
+from .jaccard import op9_jaccard
 from .licenses import OP5_SQL, op5_licenses
 from .ogg import op3_ogg
 from .quality import op10_quality
+from .suffixes import op7_suffixes
 from .toxicity import op4_toxicity
 
 QUERIES = {
@@ -17,6 +19,8 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_licenses": op5_licenses,
     "op6_decontaminate": op6_decontaminate,
+    "op7_suffixes": op7_suffixes,
+    "op9_jaccard": op9_jaccard,
     "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {"op5_licenses": OP5_SQL}
