@@ -34,4 +34,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: i
     # repeated documents share a label row; one text of each id is learned from
     ids = F.broadcast(marked.orderBy(F.xxhash64(key), key).limit(rows))
     found = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(ids, key)
-    return materialise(found.groupBy(key, "label").agg(F.min("text").alias("text")).select(key, "text", "label"), f"sample-{label}")
+    return materialise(found.groupBy(key, "label").agg(F.min("text").alias("text")).select(key, "text", "label").repartition(max(1, rows // 1000)), f"sample-{label}")

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import map_rows, materialise, table
 from .sample import held_out, labelled
 
 SAMPLE = 12_000
@@ -78,7 +78,7 @@ def choose_terms(sample: DataFrame, count: int = TERMS, least: float = LEAST) ->
         return {}, np.zeros(0)
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     chi = (pos + neg) * F.pow(p * (neg - n) - n * (pos - p), 2) / ((p + n) * (pos + neg - p - n + 1e-9) * pos * neg)
-    scored = term_counts(sample).withColumn("chi", chi).withColumn("up", p * neg > n * pos).where(F.col("chi") >= least)
+    scored = materialise(term_counts(sample).withColumn("chi", chi).withColumn("up", p * neg > n * pos).where(F.col("chi") >= least), "terms")
     rows = [r for up in (True, False) for r in scored.where(F.col("up") == up).orderBy(F.desc("chi"), "term").limit(count).collect()]
     return {r.term: i for i, r in enumerate(rows)}, np.array([math.log((1 + pos + neg) / (1 + r.p + r.n)) + 1 for r in rows])
 
