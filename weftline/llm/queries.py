@@ -7,6 +7,7 @@ from .decontaminate import op6_decontaminate
 from .html import op2_html
 from .jaccard import op9_jaccard
 from .licenses import OP5_SQL, op5_licenses
+from .maxent import op8_maxent
 from .ogg import op3_ogg
 from .quality import op10_quality
 from .suffixes import op7_suffixes
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_licenses": op5_licenses,
     "op6_decontaminate": op6_decontaminate,
     "op7_suffixes": op7_suffixes,
+    "op8_maxent": op8_maxent,
     "op9_jaccard": op9_jaccard,
     "op10_quality": op10_quality,
 }
