@@ -316,8 +316,8 @@ def equal_strings(cluster: list[tuple[bytes, int, tuple]], length: int, prefix:
                 spans[a].append((length - right, n))
                 spans[b].append((length - right, n))
     for (_, _, (r, x, _)), own in zip(cluster, spans):
-        for lo, hi in set(own):
-            yield r, x - hi, x - lo + length
+        if own:  # all these strings cover the anchor's prefix, so together they are one stretch
+            yield r, x - max(hi for _, hi in own), x - min(lo for lo, _ in own) + length
 
 
 def merged_repeats(anchored: DataFrame, n_anchors: int, length: int, prefix: int) -> DataFrame:
@@ -525,13 +525,25 @@ class Repeats:
         self.texts = texts.select(text_ref(F.col("d")).alias("r"), "d", "text")
         total = self.ids.agg(F.sum("n_bytes")).first()[0] or 0
         found = materialise(candidates(self.texts, total, length, prefix), "anchors")
-        n_found = found.count()
-        lists = found.groupBy("r").agg(F.collect_list(F.struct("p", "hot")).alias("at"))
-        anchored = self.texts.select("r", "text").join(small(lists, n_found), "r")
+        lists = materialise(found.groupBy("r").agg(F.collect_list(F.struct("p", "hot")).alias("at")), "lists")
+        n_found, n_lists = found.count(), lists.count()
+        own = self.texts.select("r", "text")
+        if n_lists <= SMALL:  # only texts with anchors are moved to their anchors
+            own = own.join(F.broadcast(lists.select("r")), "r", "left_semi")
+        anchored = materialise(own.join(lists, "r"), "anchored")
         spans = merged_repeats(anchored, n_found, length, prefix)
         if found.where("hot").limit(1).count():
             spans = spans.unionByName(counted_repeats(anchored, length, prefix))
-        self.spans = materialise(spans.groupBy("r").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+
+        def merge(batches):
+            for batch in batches:
+                rs, spans = [], []
+                for r, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    rs.append(r), spans.append([{"start": a, "end": b} for a, b in merged_spans(x)])
+                yield pa.RecordBatch.from_arrays([pa.array(rs, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["r", "spans"])
+
+        spans = spans.groupBy("r").agg(F.collect_list(F.struct("start", "end")).alias("x"))
+        self.spans = materialise(spans.mapInArrow(merge, "r bigint, spans array<struct<start:int,end:int>>"), "spans")
         self.length = length
 
     def affected(self) -> DataFrame:
