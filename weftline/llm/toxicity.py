@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, table
+from .common import map_rows, table
 from .sample import held_out, labelled
 
 SAMPLE = 12_000
@@ -78,8 +78,8 @@ def choose_terms(sample: DataFrame, count: int = TERMS, least: float = LEAST) ->
         return {}, np.zeros(0)
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     chi = (pos + neg) * F.pow(p * (neg - n) - n * (pos - p), 2) / ((p + n) * (pos + neg - p - n + 1e-9) * pos * neg)
-    scored = materialise(term_counts(sample).withColumn("chi", chi).withColumn("up", p * neg > n * pos).where(F.col("chi") >= least), "terms")
-    rows = [r for up in (True, False) for r in scored.where(F.col("up") == up).orderBy(F.desc("chi"), "term").limit(count).collect()]
+    scored = term_counts(sample).withColumn("chi", chi).where((p * neg > n * pos) & (F.col("chi") >= least))
+    rows = scored.orderBy(F.desc("chi"), "term").limit(count).collect()
     return {r.term: i for i, r in enumerate(rows)}, np.array([math.log((1 + pos + neg) / (1 + r.p + r.n)) + 1 for r in rows])
 
 
@@ -123,27 +123,28 @@ class Index:
         self.keys = [keys[:EVIDENCE] for keys in members]
         self.blocks = -(-len(points) // BLOCK)
         self.bound = np.zeros((n_terms, self.blocks))
-        lists: dict = defaultdict(list)
+        lists: dict = defaultdict(lambda: ([], [], []))
         for k, (ids, w) in enumerate(points):
             for i, x in zip(ids, w):
-                lists[i, k // BLOCK].append((k % BLOCK, x))
+                for part, value in zip(lists[k // BLOCK], (i, k % BLOCK, x)):
+                    part.append(value)
                 self.bound[i, k // BLOCK] = max(self.bound[i, k // BLOCK], x)
-        self.lists = {at: (np.array([k for k, _ in v]), np.array([x for _, x in v])) for at, v in lists.items()}
+        # postings of each block, by term
+        self.lists = {b: tuple(np.array(x)[np.argsort(v[0], kind="stable")] for x in v) for b, v in lists.items()}
         self.memory: dict = {}
 
     def search(self, ids: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The nearest points (without ``skip``) and their cosines, best first."""
         bound = w @ self.bound[ids]
         order = np.argsort(-bound, kind="stable")
+        query = np.zeros(len(self.bound))
+        query[ids] = w
         best_k, best_s = np.zeros(0, np.int64), np.zeros(0)
         for b in order.tolist():
             if bound[b] <= 0 or len(best_s) == self.nearest and bound[b] < best_s[-1] - 1e-9:
                 break
-            s = np.zeros(BLOCK)
-            for i, x in zip(ids.tolist(), w.tolist()):
-                if (i, b) in self.lists:
-                    at, y = self.lists[i, b]
-                    s[at] += x * y
+            terms, at, y = self.lists[b]
+            s = np.bincount(at, query[terms] * y, BLOCK)
             if skip // BLOCK == b:
                 s[skip % BLOCK] = 0
             at = np.flatnonzero(s > 0)
