@@ -34,17 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, slices, table, utf8
+from .common import arrow_schema, materialise, slices, table, utf8
 from .graph import components
 
 WORDS = 4
 PERCENT = 85
 #: Frequent n-grams that are ordered by count (the rest only by hash).
-FREQUENT = 400_000
+FREQUENT = 1_000_000
 #: N-grams of a task counted at a time, and repeats from which one is frequent.
-COUNTED, REPEATS = 4_000_000, 4
+COUNTED, REPEATS = 4_000_000, 3
 BUCKET_ROWS = 400_000
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: Nodes or ids up to which a side is broadcast; beyond it joins shuffle.
 SMALL = 500_000
 GROUP = 2048
@@ -59,29 +59,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class WordHashes(dict):
+    """64-bit hash of a word, kept once computed."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Sorted distinct shingle hashes of whole texts."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
+        self.words, self.known = words, WordHashes()
 
     def hashes(self, text: str | None) -> np.ndarray:
         found = utf8(text).translate(_LOWER).split()
         if not found:
             return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in set(found).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        h = np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
         n = self.words
         if len(h) < n:
             h = np.r_[h, np.full(n - len(h), len(h), np.uint64)]
-        total = np.zeros(len(h) - n + 1, np.uint64)
-        for i in range(n):
-            total = mix(total + h[i : len(h) - n + 1 + i] * _MULTIPLIERS[i % 8] + np.uint64(i))
-        return np.unique(total)
+        total = h[: len(h) - n + 1] * _MULTIPLIERS[0]
+        for i in range(1, n):
+            total += h[i : len(h) - n + 1 + i] * _MULTIPLIERS[i % 8] + np.uint64(i)
+        total = mix(total)
+        total.sort()
+        return total[np.r_[True, total[1:] != total[:-1]]]
 
 
 def node_key(grams: np.ndarray) -> int:
@@ -89,20 +96,56 @@ def node_key(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes(), seed=len(grams)) - (1 << 63)
 
 
-def set_keys(docs: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """``key, n, k, sketch``: size, fingerprint and sketch of every set; nulls for empty ones."""
+def read_sets(docs: DataFrame, words: int, text: str, key: str, most: int = FREQUENT) -> tuple[DataFrame, "Order"]:
+    """``key, n, k, sketch`` of every row, and the global n-gram order.
 
-    def make():
-        shingler = Shingler(words)
+    One pass writes both: size, fingerprint and sketch of every set (nulls for
+    empty ones), and the n-grams that repeat within COUNTED n-grams of a task. The
+    order keeps the (at most ``most``) n-grams that repeat most.
+    """
+    kind = docs.schema[key].dataType
+    ddl = f"`{key}` {kind.simpleString()}, n bigint, k bigint, sketch binary, gram bigint, m bigint"
+    names = [key, "n", "k", "sketch", "gram", "m"]
+    types = list(arrow_schema(ddl).types)
 
-        def run(keys, texts):
-            sets = [shingler.hashes(t) for t in texts]
-            return {key: keys, "n": [len(s) for s in sets], "k": [node_key(s) if len(s) else None for s in sets], "sketch": [sketch(s) if len(s) else None for s in sets]}
+    def batch(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-        return run
+    def run(batches):
+        shingler, seen, held, size = Shingler(words), set(), [], 0
+
+        def count():
+            grams = np.sort(np.concatenate(held))
+            cut = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+            m = np.diff(np.r_[cut, len(grams)])
+            grams, m = grams[cut][m >= REPEATS].view(np.int64), m[m >= REPEATS]
+            none = [None] * len(grams)
+            return batch(none, none, none, none, grams, m)
+
+        for source in batches:
+            for part in slices(source):
+                ns, ks, marks = [], [], []
+                for t in part.column(1).to_pylist():
+                    grams = shingler.hashes(t)
+                    k = node_key(grams) if len(grams) else None
+                    ns.append(len(grams)), ks.append(k), marks.append(sketch(grams) if len(grams) else None)
+                    if k is not None and k not in seen:
+                        seen.add(k)
+                        held.append(grams)
+                        size += len(grams)
+                none = [None] * len(ns)
+                yield batch(part.column(0), ns, ks, marks, none, none)
+                if size >= COUNTED:
+                    yield count()
+                    held, size = [], 0
+        if held:
+            yield count()
 
-    kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs.select(key, text), make, f"`{key}` {kind}, n bigint, k bigint, sketch binary")
+    both = materialise(docs.select(key, text).mapInArrow(run, ddl), "sets")
+    rows = both.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("m").alias("m")).orderBy(F.desc("m"), "gram").limit(most).select("gram").toPandas()
+    grams = rows["gram"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(grams)
+    return both.where("gram IS NULL").select(key, "n", "k", "sketch"), Order(grams[by], (len(grams) - np.arange(len(grams)))[by])
 
 
 def distinct_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -119,32 +162,6 @@ def distinct_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tup
                         yield k, grams
 
 
-def frequent_grams(docs: DataFrame, words: int, text: str, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The (at most ``most``) n-grams that repeat most within tasks, sorted, with their rank in the order."""
-
-    def run(batches):
-        held, size = [], 0
-
-        def count():
-            grams, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= REPEATS
-            return pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(n[often])], names=["gram", "n"])
-
-        for _, grams in distinct_sets(batches, words):
-            held.append(grams)
-            size += len(grams)
-            if size >= COUNTED:
-                yield count()
-                held, size = [], 0
-        if held:
-            yield count()
-
-    rows = docs.select(text).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most).toPandas()
-    grams = rows["gram"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(grams)
-    return grams[order], (len(grams) - np.arange(len(grams)))[order]
-
-
 class Order:
     """The global n-gram order: rank 0 for rare n-grams, then rising with frequency."""
 
@@ -270,33 +287,82 @@ def verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, order, percent: in
     return total.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b")
 
 
-def cross_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
+def cross_pairs(rows: DataFrame, sketches: DataFrame, percent: int, spanning: bool) -> DataFrame:
     """Pairs of nodes that share an n-gram, lie in different components ``c`` and may link.
 
-    ``rows``: gram, k, n, c, sketch. N-grams within one component are left alone;
-    groups of more than GROUP nodes are cut into blocks that meet pair by pair.
-    Sizes and sketches only rule out pairs that cannot link. With ``spanning``,
-    a block gives no pair whose nodes its earlier pairs connect, and blocks do not
-    meet: once these pairs are verified, most others lie within a component.
+    ``rows``: gram, k, n, c; ``sketches``: k, sketch. N-grams within one component
+    are left alone; groups of more than GROUP nodes are cut into blocks that meet
+    pair by pair. Sizes and sketches only rule out pairs that cannot link. With
+    ``spanning``, a block gives no pair whose nodes its earlier pairs connect, and
+    blocks do not meet: once these pairs are verified, most others lie within a
+    component.
     """
-    open_ = rows.groupBy("gram").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1")
-    found = rows.join(open_, "gram")
+    open_ = rows.groupBy("gram").agg(
+        F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m"), F.min("k").alias("a"), F.max("k").alias("b"), F.min("n").alias("n0"), F.max("n").alias("n1")
+    ).where("c0 <> c1")
+    open_ = materialise(open_, "open")
+    # most n-grams are shared by two nodes; each of these pairs is looked at once
+    two = open_.where(f"m = 2 AND n0 * 100 >= n1 * {percent}").select("a", "b").distinct()
+    other = sketches.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    two = two.join(sketches.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(other, "b")
+
+    def near(batches):
+        for batch in batches:
+            for part in slices(batch):
+                a, b, na, nb, sa, sb = (c.to_pylist() for c in part.columns)
+                ok = []
+                for x, y, p, q in zip(na, nb, sa, sb):
+                    width = min(len(p), len(q))
+                    ok.append(int(np.bitwise_count(fold(p, width) ^ fold(q, width)).sum()) * (100 + percent) <= (x + y) * (100 - percent))
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    two = two.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a bigint, b bigint")
+    found = rows.join(open_.where("m > 2").select("gram", "m"), "gram").join(sketches.select("k", "sketch"), "k")
     blocks = F.ceil(F.col("m") / GROUP).cast("int")
     own = F.pmod(F.xxhash64("k"), blocks).cast("int")
     met = F.array(own) if spanning else F.sequence(F.lit(0), blocks - 1)
     met = found.select("gram", "k", "n", "c", "sketch", own.alias("own"), F.explode(met).alias("other"))
     met = met.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     groups = met.groupBy("gram", "lo", "hi").agg(F.collect_list(F.struct("k", "n", "c", "own", "sketch")).alias("x")).where(F.size("x") > 1)
+    row = np.dtype([("a", "<i8"), ("b", "<i8")])
+    buckets = 64
 
     def pair(batches):
+        held, size = [], 0
+
+        def out():
+            pairs = np.unique(np.concatenate(held))
+            to = (mix(pairs["a"].view(np.uint64) ^ mix(pairs["b"].view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(to, kind="stable")
+            cut = np.flatnonzero(np.r_[True, np.diff(to[by]) != 0])
+            parts = np.split(pairs[by], cut[1:])
+            return pa.RecordBatch.from_arrays([pa.array(to[by][cut], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["bucket", "data"])
+
         for batch in batches:
             for part in slices(batch):
                 for lo, hi, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                     left, right = block_pairs(x.values, lo == hi, percent, spanning)
-                    for i in range(0, len(left), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(left[i : i + 100_000]), pa.array(right[i : i + 100_000])], names=["a", "b"])
+                    if len(left):
+                        pairs = np.empty(len(left), row)
+                        pairs["a"], pairs["b"] = left, right
+                        held.append(pairs)
+                        size += len(pairs)
+                    if size > 500_000:
+                        yield out()
+                        held, size = [], 0
+        if held:
+            yield out()
+
+    def once(batches):
+        # a pair that shares several n-grams comes from several tasks
+        held = [np.frombuffer(d.as_py(), row) for batch in batches for d in batch.column(1)]
+        if held:
+            pairs = np.unique(np.concatenate(held))
+            for i in range(0, len(pairs), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs["a"][i : i + 100_000]), pa.array(pairs["b"][i : i + 100_000])], names=["a", "b"])
 
-    return groups.select("lo", "hi", "x").mapInArrow(pair, "a bigint, b bigint").distinct()
+    many = groups.select("lo", "hi", "x").mapInArrow(pair, "bucket bigint, data binary").repartition(buckets, "bucket").mapInArrow(once, "a bigint, b bigint")
+    return two.union(many).distinct()
 
 
 def block_pairs(x: pa.StructArray, one: bool, percent: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -356,16 +422,16 @@ def fold(data: bytes, width: int) -> np.ndarray:
 def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, n_shingles, component_id`` of every row."""
     docs = docs.select(key, text)
-    ids = materialise(set_keys(docs, words, text, key), "sets")
+    ids, order = read_sets(docs, words, text, key)
     n_grams = ids.agg(F.sum("n")).first()[0] or 0
-    order = docs.sparkSession.sparkContext.broadcast(Order(*frequent_grams(docs, words, text)))
+    order = docs.sparkSession.sparkContext.broadcast(order)
     rows = materialise(shared_prefixes(docs, order, percent, words, text, n_grams), "prefixes")
-    sketches = ids.where("k IS NOT NULL").groupBy("k").agg(F.first("sketch").alias("sketch"))
-    known = rows.join(sketches, "k")
+    shared = rows.select("k").distinct()
+    sketches = materialise(ids.join(shared, "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
     labels = links = None
     for spanning in (True, False):
-        c = known.withColumn("c", F.col("k")) if labels is None else known.join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
-        pairs = materialise(cross_pairs(c, percent, spanning), "pairs")
+        c = rows.withColumn("c", F.col("k")) if labels is None else rows.join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
+        pairs = materialise(cross_pairs(c, sketches, percent, spanning), "pairs")
         if pairs.limit(1).count():
             found = materialise(verify(pairs, docs, ids, order, percent, words, text, key), "links")
             links = found if links is None else links.union(found)
