@@ -11,21 +11,20 @@ from .common import materialise
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``k, c``: every key of a link with the smallest key of its component.
 
-    Each round a key takes the smallest label among its neighbours and itself and
-    then that label's own label (pointer jumping), so rounds grow with the
-    logarithm of the longest chain. Labels are written between rounds; links never
-    reach the driver. Links of a hot key are minimised within tasks first.
+    Each round a key takes the smallest label among its neighbours', its own and its
+    own label's label (pointer jumping), so rounds grow with the logarithm of the
+    longest chain. Labels are written once a round; links never reach the driver.
+    Links of a hot key are minimised within tasks first.
     """
     edges = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     both = materialise(edges.union(edges.select("y", "x")).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("x").alias("k")).agg(F.least(F.min("y"), F.col("x")).alias("c")), "labels")
     while True:
         near = both.join(labels, F.col("y") == F.col("k")).groupBy("x").agg(F.min("c").alias("m"))
-        step = labels.join(near, F.col("k") == F.col("x")).select("k", F.least("c", "m").alias("n"), F.col("c").alias("old"))
-        step = materialise(step, "step")
-        up = step.select(F.col("k").alias("p"), F.col("n").alias("pn"))
-        new = step.join(up, F.col("n") == F.col("p"), "left").select("k", F.least("n", F.coalesce("pn", "n")).alias("c"), (F.col("n") < F.col("old")).alias("moved"))
-        new = materialise(new, "labels")
+        up = labels.select(F.col("k").alias("p"), F.col("c").alias("pc"))  # a label is a key itself
+        new = labels.join(near, F.col("k") == F.col("x")).join(up, F.col("c") == F.col("p"))
+        n = F.least("c", "m", "pc")
+        new = materialise(new.select("k", n.alias("c"), (n < F.col("c")).alias("moved")), "labels")
         labels = new.select("k", "c")
         if not new.where("moved").limit(1).count():
             return labels
