@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 #: Pieces kept by a worker between batches; beyond it the memory is emptied.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 100_000
 NONE = np.int64(1 << 40)
 
 

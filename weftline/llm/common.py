@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 4 << 20
 SLICE_ROWS = 2048
+#: Rows of an Arrow batch while a step is written: the JVM and the worker each hold a batch whole.
+ARROW_ROWS = "2000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +50,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ARROW_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     # shuffle files of finished steps go once the driver's JVM finds them unreachable
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -50,7 +50,7 @@ SMALL = 500_000
 GROUP = 2048
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -115,7 +115,9 @@ def read_sets(docs: DataFrame, words: int, text: str, key: str, most: int = FREQ
         shingler, seen, held, size = Shingler(words), set(), [], 0
 
         def count():
-            grams = np.sort(np.concatenate(held))
+            grams = np.concatenate(held)
+            held.clear()
+            grams.sort()
             cut = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
             m = np.diff(np.r_[cut, len(grams)])
             grams, m = grams[cut][m >= REPEATS].view(np.int64), m[m >= REPEATS]
@@ -219,7 +221,7 @@ def shared_prefixes(docs: DataFrame, order, percent: int, words: int, text: str,
             rows["gram"], rows["k"], rows["n"] = first, k, len(grams)
             held.append((rows, ranks > 0))
             size += len(rows)
-            if size >= 1_000_000:
+            if size >= 400_000:
                 yield pack()
                 held, size = [], 0
         if held:

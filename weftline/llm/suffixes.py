@@ -46,7 +46,7 @@ HOT = 64
 #: Anchors with one prefix in a task from which it is hot.
 HOT_IN_TASK = 8
 BUCKET_ROWS = 400_000
-RUN_BYTES = 32 << 20
+RUN_BYTES = 16 << 20
 #: Rows up to which a side is broadcast; beyond it joins shuffle.
 SMALL = 300_000
 
@@ -184,7 +184,7 @@ def candidates(texts: DataFrame, n_bytes: int, length: int, prefix: int) -> Data
                         rows["r"], rows["p"], rows["n"] = r, at, 1
                         held.append(rows)
                         size += len(rows)
-                if size >= 1_000_000:
+                if size >= 400_000:
                     yield out()
                     held, size = [], 0
         if held:

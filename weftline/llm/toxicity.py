@@ -42,7 +42,7 @@ BLOCK = 64
 THRESHOLD = 0.3
 PARTS, PART = 4, 2
 EVIDENCE = 5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 _words = re.compile(r"\w+").findall
 
 
