@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm import bpe, decontaminate, jaccard, suffixes, toxicity
 from weftline.llm.common import materialise, table
 
+#: The fewest words of a passage that is not to occur twice.
+PASSAGE_WORDS = 51
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
@@ -19,8 +22,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without long passages that occur more than once; ``n_chars`` follows."""
-    return suffixes.remove_repeats(docs)
+    """Texts without passages of over 50 words, or of 400 bytes, that occur more than once; ``n_chars`` follows."""
+    return suffixes.remove_repeats(docs, words=PASSAGE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

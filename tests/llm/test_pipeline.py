@@ -1,9 +1,14 @@
 """The pipeline's stages on a small table."""
 
 import os
+import random
+import re
+from collections import Counter
 
 import pytest
 
+from weftline.llm import suffixes
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -21,3 +26,46 @@ def test_stages(spark):
     name, stage = corpus_pipeline.STAGES[-1]
     assert stage(spark, docs, DATA).count() == before
     assert before > 100
+
+
+def brute_passages(texts, words, length):
+    """Texts without repeated runs of words or bytes."""
+    data = [t.encode() for t in texts]
+    found = [list(re.finditer(rb"[^ \t-\r]+", d)) for d in data]
+    runs = Counter(tuple(m[0] for m in f[i : i + words]) for f in found for i in range(len(f) - words + 1))
+    strings = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d, f in zip(data, found):
+        gone = set()
+        for i in range(len(f) - words + 1):
+            if runs[tuple(m[0] for m in f[i : i + words])] > 1:
+                gone.update(range(f[i].start(), f[i + words].start() if i + words < len(f) else len(d)))
+        for i in range(len(d) - length + 1):
+            if strings[d[i : i + length]] > 1:
+                gone.update(range(i, i + length))
+        out.append(bytes(b for i, b in enumerate(d) if i not in gone).decode("utf-8", "ignore"))
+    return out
+
+
+def prose(r, n):
+    return " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 6))) for _ in range(n))
+
+
+@pytest.mark.parametrize("hot", [64, 2])
+def test_passages_of_over_50_words(spark, monkeypatch, hot):
+    import corpus_pipeline
+
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "HOT_IN_TASK", 2 if hot == 2 else 8)
+    r = random.Random(4)
+    passages = [prose(r, n) for n in (50, 51, 52, 58, 65)]
+    assert all(len(p.encode()) < 400 for p in passages)
+    texts = [" ".join([prose(r, 20 + i), p, prose(r, 20)]) for i in range(4) for p in passages]
+    # white space does not tell passages apart; one long word is a passage by its bytes; copies of a short text
+    texts += [prose(r, 9) + "\n" + passages[2].replace(" ", " \n"), passages[3], *(f"{prose(r, 5)} {'x7é' * 200} {prose(r, 5)}" for _ in range(2)), passages[4], passages[4], "", "a b", "a b"]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)] + [(len(texts), None, None)], "doc_id long, text string, n_chars long").repartition(3)
+    got = sorted(corpus_pipeline.remove_repeats(spark, df, "").collect())
+    want = brute_passages(texts, 51, 400)
+    assert [x.text for x in got] == [*want, None]
+    assert [x.n_chars for x in got[:-1]] == [len(t) for t in want]
+    assert all(passages[0] in t for t in (want[0], want[5])) and not any(p in t for p in passages[1:] for t in want)

@@ -108,6 +108,6 @@ def map_rows(
     return df.mapInArrow(run, StructType.fromDDL(ddl))
 
 
-def utf8(text: str | None) -> bytes:
-    """A text as UTF-8; null counts as empty."""
-    return b"" if text is None else text.encode("utf-8", "surrogatepass")
+def utf8(text: str | bytes | None) -> bytes:
+    """A text as UTF-8; null counts as empty, bytes stay as they are."""
+    return b"" if text is None else text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")

@@ -21,6 +21,10 @@ Prefixes shared by more than :data:`HOT` anchors never meet in one task: their
 strings are counted by 128-bit hashes, summed within tasks first. Copies of whole
 texts are found by their digest beforehand; one of them stands for all.
 
+:func:`remove_repeats` can also remove repeated runs of so many words or more,
+however few bytes they have: each word (bytes between ASCII white space) becomes
+:data:`CODE` bytes of hash, and the same steps run over whole codes.
+
 Defined results: null is the empty text; texts shorter than ``LENGTH`` keep all
 their bytes and lend none; repeated rows are copies of each other; an empty table
 gives an empty table; other columns are ignored by :func:`repeats` and kept by
@@ -30,6 +34,7 @@ gives an empty table; other columns are ignored by :func:`repeats` and kept by
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +43,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, slices, table, utf8
+from .jaccard import CACHE_WORDS, WordHashes
 
 LENGTH = 400
 PREFIX = 100
+#: Bytes of a word's hash, and the words of an anchor's prefix where words are compared.
+CODE = 8
+PREFIX_WORDS = 16
 #: Anchors with one prefix up to which suffixes are merged; beyond it strings are counted.
 HOT = 64
 #: Anchors with one prefix in a task from which it is hot.
@@ -53,6 +62,8 @@ SMALL = 300_000
 _ANCHOR = np.dtype([("c", "<u8"), ("r", "<i8"), ("p", "<i4"), ("n", "<i4")])
 _rng = np.random.default_rng(20240229)
 _BYTES = [_rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+_word = re.compile(rb"[^ \t-\r]+")
+_SPANS = "array<struct<start:int,end:int>>"
 _BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
 
 
@@ -90,14 +101,14 @@ def hashes(sums: np.ndarray, at: np.ndarray, length: int, which: int) -> np.ndar
     return (sums[at + length] - sums[at]) * _powers[which].down[at]
 
 
-def leaders(data: bytes, length: int = LENGTH, prefix: int = PREFIX) -> np.ndarray:
-    """The anchor of the string of ``length`` bytes at each position (empty if there is none)."""
-    n = len(data) - length + 1
+def leaders(data: bytes, length: int = LENGTH, prefix: int = PREFIX, step: int = 1) -> np.ndarray:
+    """The anchor of the string of ``length`` bytes at each position that ``step`` divides (empty if there is none)."""
+    n = (len(data) - length) // step + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    width = length - prefix + 1
+    width = (length - prefix) // step + 1
     # 8 bytes at every position that an anchor may have
-    v = np.ndarray((n + width - 1,), "<u8", data, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+    v = np.ndarray((n + width - 1,), "<u8", data, strides=(step,)) * np.uint64(0x9E3779B97F4A7C15)
     v = (v ^ (v >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     v >>= np.uint64(28)
     v <<= np.uint64(28)
@@ -110,7 +121,7 @@ def leaders(data: bytes, length: int = LENGTH, prefix: int = PREFIX) -> np.ndarr
         span *= 2
     if span < width:
         v = np.minimum(v[: n], v[width - span : width - span + n])
-    return (v[:n] & np.uint64((1 << 28) - 1)).astype(np.int64)
+    return (v[:n] & np.uint64((1 << 28) - 1)).astype(np.int64) * step
 
 
 def text_ref(digest: Column) -> Column:
@@ -148,7 +159,7 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list
         yield now, held
 
 
-def candidates(texts: DataFrame, n_bytes: int, length: int, prefix: int) -> DataFrame:
+def candidates(texts: DataFrame, n_bytes: int, length: int, prefix: int, step: int = 1) -> DataFrame:
     """``r, p, hot``: anchors of ``texts`` (r, text) whose prefix occurs at another anchor.
 
     A task that holds a prefix HOT_IN_TASK times sends one summary of it; its
@@ -177,7 +188,7 @@ def candidates(texts: DataFrame, n_bytes: int, length: int, prefix: int) -> Data
             for part in slices(batch):
                 for r, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     data = utf8(text)
-                    at = np.unique(leaders(data, length, prefix))
+                    at = np.unique(leaders(data, length, prefix, step))
                     if len(at):
                         rows = np.empty(len(at), _ANCHOR)
                         rows["c"] = hashes(prefix_sums(np.frombuffer(data, np.uint8), 0), at, prefix, 0)
@@ -294,7 +305,7 @@ class LoserTree:
                 node //= 2
 
 
-def equal_strings(cluster: list[tuple[bytes, int, tuple]], length: int, prefix: int) -> Iterator[tuple[int, int, int]]:
+def equal_strings(cluster: list[tuple[bytes, int, tuple]], length: int, prefix: int, step: int = 1) -> Iterator[tuple[int, int, int]]:
     """``r, start, end`` of repeated strings around the anchors of one cluster.
 
     ``cluster``: suffixes in order with the common prefix of each and the one
@@ -312,15 +323,16 @@ def equal_strings(cluster: list[tuple[bytes, int, tuple]], length: int, prefix:
             n = min(na, nb, most)
             if d := la ^ lb:
                 n = min(n, ((d & -d).bit_length() - 1) // 8)
-            if length - right <= n:
-                spans[a].append((length - right, n))
-                spans[b].append((length - right, n))
+            lo, hi = -(-(length - right) // step) * step, n // step * step
+            if lo <= hi:
+                spans[a].append((lo, hi))
+                spans[b].append((lo, hi))
     for (_, _, (r, x, _)), own in zip(cluster, spans):
         if own:  # all these strings cover the anchor's prefix, so together they are one stretch
             yield r, x - max(hi for _, hi in own), x - min(lo for lo, _ in own) + length
 
 
-def merged_repeats(anchored: DataFrame, n_anchors: int, length: int, prefix: int) -> DataFrame:
+def merged_repeats(anchored: DataFrame, n_anchors: int, length: int, prefix: int, step: int = 1) -> DataFrame:
     """``r, start, end`` of repeats found by merging sorted runs; ``anchored``: r, text, at (anchors, hot)."""
     buckets = buckets_for(n_anchors * 4)
     load_type = np.dtype([("r", "<i8"), ("x", "<i4"), ("shared", "<u2"), ("rest", "<u2"), ("left", "<u2")])
@@ -379,7 +391,7 @@ def merged_repeats(anchored: DataFrame, n_anchors: int, length: int, prefix: int
 
             def solve():
                 if len(cluster) > 1:
-                    for r, a, b in equal_strings(cluster, length, prefix):
+                    for r, a, b in equal_strings(cluster, length, prefix, step):
                         rs.append(r), starts.append(a), ends.append(b)
 
             for suffix, shared, load in LoserTree([parse(b) for b in blobs]):
@@ -401,15 +413,15 @@ def spans_batch(rs, starts, ends) -> pa.RecordBatch:
 # --- prefixes that very many anchors share ---------------------------------------
 
 
-def hot_strings(data: bytes, hot: list[int], length: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hot_strings(data: bytes, hot: list[int], length: int, prefix: int, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the strings whose anchor is hot, and their two hashes."""
-    lead = leaders(data, length, prefix)
-    at = np.flatnonzero(np.isin(lead, hot))
+    lead = leaders(data, length, prefix, step)
+    at = np.flatnonzero(np.isin(lead, hot)) * step
     flat = np.frombuffer(data, np.uint8)
     return at, *(hashes(prefix_sums(flat, w), at, length, w) for w in (0, 1))
 
 
-def counted_repeats(anchored: DataFrame, length: int, prefix: int) -> DataFrame:
+def counted_repeats(anchored: DataFrame, length: int, prefix: int, step: int = 1) -> DataFrame:
     """``r, start, end`` of repeats with a hot anchor, from counts of string hashes."""
 
     def strings(batches):
@@ -418,7 +430,7 @@ def counted_repeats(anchored: DataFrame, length: int, prefix: int) -> DataFrame:
                 for r, text, anchors in zip(*(c.to_pylist() for c in part.columns)):
                     hot = [a["p"] for a in anchors if a["hot"]]
                     if hot:
-                        yield r, *hot_strings(utf8(text), hot, length, prefix)
+                        yield r, *hot_strings(utf8(text), hot, length, prefix, step)
 
     def count(batches):
         held, size = [], 0
@@ -503,52 +515,90 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
+def coded(texts: DataFrame) -> DataFrame:
+    """``r, text`` with each word's hash in place of the word."""
+
+    def run(batches):
+        known = WordHashes()
+        for batch in batches:
+            for part in slices(batch):
+                codes = []
+                for t in part.column(1).to_pylist():
+                    if len(known) > CACHE_WORDS:
+                        known.clear()
+                    found = utf8(t).split()
+                    codes.append(np.fromiter(map(known.__getitem__, found), "<u8", len(found)).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary())], names=["r", "text"])
+
+    return texts.select("r", "text").mapInArrow(run, "r bigint, text binary")
+
+
+def word_spans(data: bytes, spans) -> list[dict[str, int]]:
+    """Bytes of a text for spans of its words' codes, up to where the next word starts."""
+    if not spans:
+        return []
+    starts = [m.start() for m in _word.finditer(data)] + [len(data)]
+    return [{"start": starts[s["start"] // CODE], "end": starts[s["end"] // CODE]} for s in spans]
+
+
+def spans_of(texts: DataFrame, n_bytes: int, length: int, prefix: int, step: int = 1) -> DataFrame:
+    """``r, spans`` of the repeated strings in ``texts`` (r, text)."""
+    found = materialise(candidates(texts, n_bytes, length, prefix, step), "anchors")
+    lists = materialise(found.groupBy("r").agg(F.collect_list(F.struct("p", "hot")).alias("at")), "lists")
+    n_found, n_lists = found.count(), lists.count()
+    own = texts.select("r", "text")
+    if n_lists <= SMALL:  # only texts with anchors are moved to their anchors
+        own = own.join(F.broadcast(lists.select("r")), "r", "left_semi")
+    anchored = materialise(own.join(lists, "r"), "anchored")
+    spans = merged_repeats(anchored, n_found, length, prefix, step)
+    if found.where("hot").limit(1).count():
+        spans = spans.unionByName(counted_repeats(anchored, length, prefix, step))
+
+    def merge(batches):
+        for batch in batches:
+            rs, spans = [], []
+            for r, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rs.append(r), spans.append([{"start": a, "end": b} for a, b in merged_spans(x)])
+            yield pa.RecordBatch.from_arrays([pa.array(rs, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["r", "spans"])
+
+    spans = spans.groupBy("r").agg(F.collect_list(F.struct("start", "end")).alias("x"))
+    return materialise(spans.mapInArrow(merge, f"r bigint, spans {_SPANS}"), "spans")
+
+
 class Repeats:
     """What is to be removed from the texts of ``docs``.
 
     ``ids``: key, digest, n_bytes of every row. ``copies``: digest and size of
-    texts that occur more than once. ``spans``: r and spans of other texts.
+    texts that occur more than once. ``spans``: r and spans of other texts, those of
+    ``words`` or more repeated words by their codes.
     """
 
-    def __init__(self, docs: DataFrame, length: int, prefix: int, text: str, key: str):
+    def __init__(self, docs: DataFrame, length: int, prefix: int, text: str, key: str, words: int = 0):
         digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
         size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint")
-        self.ids = materialise(docs.select(F.col(key), digest.alias("digest"), size.alias("n_bytes")), "digests")
-        groups = self.ids.groupBy("digest").agg(F.count(F.lit(1)).alias("m"), F.min(key).alias("rep"), F.max("n_bytes").alias("n_bytes")).where("m > 1")
+        long = size >= length
+        if words:
+            long = long | (F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^ \t-\r]+")) >= words)
+        self.ids = materialise(docs.select(F.col(key), digest.alias("digest"), size.alias("n_bytes"), long.alias("long")), "digests")
+        groups = self.ids.groupBy("digest").agg(F.count(F.lit(1)).alias("m"), F.min(key).alias("rep"), F.max("n_bytes").alias("n_bytes"), F.max("long").alias("long")).where("m > 1")
         self.copies = materialise(groups, "copies")
         rest = self.ids.join(self.copies.select("digest", "rep"), "digest").where(F.col(key) > F.col("rep")).select(F.col(key).alias("k"), F.col("digest").alias("d")).distinct()
         rest = materialise(rest, "further")
-        texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"), digest.alias("d")).where(F.octet_length("text") >= length)
+        texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"), digest.alias("d")).where(F.octet_length("text") >= (min(length, 2 * words - 1) if words else length))
         n_rest = rest.count()
         if n_rest:
             texts = texts.join(small(rest, n_rest), ["k", "d"], "left_anti")
         self.texts = texts.select(text_ref(F.col("d")).alias("r"), "d", "text")
         total = self.ids.agg(F.sum("n_bytes")).first()[0] or 0
-        found = materialise(candidates(self.texts, total, length, prefix), "anchors")
-        lists = materialise(found.groupBy("r").agg(F.collect_list(F.struct("p", "hot")).alias("at")), "lists")
-        n_found, n_lists = found.count(), lists.count()
-        own = self.texts.select("r", "text")
-        if n_lists <= SMALL:  # only texts with anchors are moved to their anchors
-            own = own.join(F.broadcast(lists.select("r")), "r", "left_semi")
-        anchored = materialise(own.join(lists, "r"), "anchored")
-        spans = merged_repeats(anchored, n_found, length, prefix)
-        if found.where("hot").limit(1).count():
-            spans = spans.unionByName(counted_repeats(anchored, length, prefix))
-
-        def merge(batches):
-            for batch in batches:
-                rs, spans = [], []
-                for r, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    rs.append(r), spans.append([{"start": a, "end": b} for a, b in merged_spans(x)])
-                yield pa.RecordBatch.from_arrays([pa.array(rs, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["r", "spans"])
-
-        spans = spans.groupBy("r").agg(F.collect_list(F.struct("start", "end")).alias("x"))
-        self.spans = materialise(spans.mapInArrow(merge, "r bigint, spans array<struct<start:int,end:int>>"), "spans")
-        self.length = length
+        self.spans = spans_of(self.texts, total, length, prefix).withColumn("by_word", F.array().cast(_SPANS))
+        if words:
+            more = spans_of(coded(self.texts), total, words * CODE, PREFIX_WORDS * CODE, CODE)
+            both = self.spans.unionByName(more.select("r", F.array().cast(_SPANS).alias("spans"), F.col("spans").alias("by_word")))
+            self.spans = materialise(both.groupBy("r").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "by_word"))), "spans")
 
     def affected(self) -> DataFrame:
         """``d, text, spans`` of texts with repeated strings, one of each group of copies among them."""
-        return self.texts.join(small(self.spans, self.spans.count()), "r").select("d", "text", "spans")
+        return self.texts.join(small(self.spans, self.spans.count()), "r").select("d", "text", "spans", "by_word")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -565,8 +615,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, text: s
                     kept.append(hashlib.sha256(cut_out(utf8(t), spans)).hexdigest())
                 yield pa.RecordBatch.from_arrays([pa.array(ds), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept)], names=["digest", "n_removed", "n_spans", "kept_sha256"])
 
-    parts = found.affected().mapInArrow(digest, "digest string, n_removed bigint, n_spans bigint, kept_sha256 string")
-    whole = found.copies.where(F.col("n_bytes") >= length).select("digest", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
+    parts = found.affected().drop("by_word").mapInArrow(digest, "digest string, n_removed bigint, n_spans bigint, kept_sha256 string")
+    whole = found.copies.where("long").select("digest", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
     parts = parts.join(found.copies.select("digest"), "digest", "left_anti")
     verdict = materialise(parts.unionByName(whole), "verdicts")
     return found.ids.join(verdict, "digest", "left").select(
@@ -574,24 +624,29 @@ def repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, text: s
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, text: str = "text", key: str = "doc_id", size: str = "n_chars") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, text: str = "text", key: str = "doc_id", size: str = "n_chars", words: int = 0) -> DataFrame:
     """Rows of ``docs`` with repeated bytes removed from their texts, all columns kept.
 
+    With ``words``, repeated runs of so many words (:data:`PREFIX_WORDS` at least)
+    or more go too, with the white space that follows each word.
     A character that loses some of its bytes loses them all; ``size``, where such
     a column exists, becomes the length of the new text. Null texts stay null.
     """
-    found = Repeats(docs, length, prefix, text, key)
+    if words and words < PREFIX_WORDS:
+        raise ValueError(f"runs of under {PREFIX_WORDS} words")
+    found = Repeats(docs, length, prefix, text, key, words)
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch):
                 ds, ts = [], []
-                for d, t, s in zip(*(c.to_pylist() for c in part.columns)):
-                    ds.append(d), ts.append(cut_out(utf8(t), merged_spans(s)).decode("utf-8", "ignore"))
+                for d, t, s, w in zip(*(c.to_pylist() for c in part.columns)):
+                    data = utf8(t)
+                    ds.append(d), ts.append(cut_out(data, merged_spans(s + word_spans(data, w))).decode("utf-8", "ignore"))
                 yield pa.RecordBatch.from_arrays([pa.array(ds, pa.string()), pa.array(ts, pa.string())], names=["_digest", "_text"])
 
     parts = found.affected().mapInArrow(cut, "_digest string, _text string").join(found.copies.select(F.col("digest").alias("_digest")), "_digest", "left_anti")
-    whole = found.copies.where(F.col("n_bytes") >= length).select(F.col("digest").alias("_digest"), F.lit("").alias("_text"))
+    whole = found.copies.where("long").select(F.col("digest").alias("_digest"), F.lit("").alias("_text"))
     new = materialise(parts.unionByName(whole), "texts")
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
     joined = docs.withColumn("_digest", digest).join(small(new, new.count()), "_digest", "left")
