@@ -69,3 +69,29 @@ def test_passages_of_over_50_words(spark, monkeypatch, hot):
     assert [x.text for x in got] == [*want, None]
     assert [x.n_chars for x in got[:-1]] == [len(t) for t in want]
     assert all(passages[0] in t for t in (want[0], want[5])) and not any(p in t for p in passages[1:] for t in want)
+
+
+def brute_kept(texts, words, percent):
+    sets = [{tuple(t.lower().split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for t in texts]
+    own = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                own = [own[b] if x == own[a] else x for x in own]
+    return sorted({own.index(x) for x in own})
+
+
+def test_near_copies_on_five_words(spark):
+    import corpus_pipeline
+
+    r, texts = random.Random(6), []
+    for i in range(30):
+        base = [f"w{r.randint(0, 9**9)}" for _ in range(200)]
+        near = list(base)
+        for k in r.sample(range(200), 2 + i % 5):
+            near[k] = "other"
+        texts += [" ".join(base), " ".join(near), " ".join(base[: 155 + i % 10])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_kept(texts, 5, 80)
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == want
+    assert want != brute_kept(texts, 4, 85)
