@@ -241,6 +241,18 @@ def test_held_out_accuracy(spark, module, label, part):
     assert {r.score for r in module.score(docs, nothing).collect()} == {0.0}
 
 
+def test_clean_texts_have_nearest_examples(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.learn(docs, labels)
+    texts = [r.text for r in docs.collect()]
+    for term, i in model.terms.items():
+        n = sum(any(term in toxicity.terms_of(w) for w in re.findall(r"\w+", (t or "").lower())) for t in texts)
+        assert np.isclose(model.idf[i], np.log((1 + len(texts)) / (1 + n)) + 1)
+    bad = {r.doc_id for r in labels.collect() if r.toxic == 1}
+    clean = [r for r in toxicity.score(docs, model).collect() if r.doc_id < 600 and r.doc_id not in bad]
+    assert all(r.evidence and not bad & set(r.evidence) for r in clean)
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(0)
     examples = []

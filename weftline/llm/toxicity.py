@@ -1,18 +1,20 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are the words of a text (``\\w+``, lower case) and their first 3 to 5
-letters; the vocabulary is the :data:`TERMS` terms most associated with label 1
-and with label 0 in the labelled sample (chi-square, above :data:`LEAST`).
+letters; the vocabulary is every term associated with label 1 in the labelled
+sample (chi-square of :data:`LEAST` or more) and the :data:`TERMS` terms most
+associated with label 0. Document frequencies are counted over all documents.
 Examples with equal vectors are one point with counts. Points lie in inverted
 lists cut into aligned blocks with the largest weight of each (block-max): a
-query adds up its block bounds, visits blocks from the highest bound and stops
-where no further block can reach the k-th best cosine, so the result is exact.
+query adds up its block bounds, visits the :data:`FIRST` blocks of highest bound
+one by one and then all others that can reach the k-th best cosine at once, so
+the result is exact.
 Votes of the k nearest points, weighted by similarity, are calibrated by the
 rates seen when each example is scored without itself; the nearest examples'
 ids are the evidence.
 
 Learning reads a sample of at most :data:`SAMPLE` labelled rows, so vocabulary
-and index have a fixed bound and can be broadcast; every document is scored.
+and index are bounded by the sample and can be broadcast; every document is scored.
 
 Defined results: texts without any vocabulary term (null and empty ones among
 them) get the rate of such examples; without labelled rows every score is 0;
@@ -31,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import map_rows, materialise, slices, table
 from .sample import held_out, labelled
 
 SAMPLE = 12_000
@@ -39,6 +41,8 @@ TERMS = 512
 LEAST = 20.0
 NEAREST = 15
 BLOCK = 64
+#: Blocks that a query visits one by one.
+FIRST = 4
 THRESHOLD = 0.3
 PARTS, PART = 4, 2
 EVIDENCE = 5
@@ -70,7 +74,28 @@ def term_counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
 
-def choose_terms(sample: DataFrame, count: int = TERMS, least: float = LEAST) -> tuple[dict[str, int], np.ndarray]:
+def document_counts(docs: DataFrame, terms: dict[str, int], text: str = "text") -> tuple[int, np.ndarray]:
+    """Number of documents, and of those with each term; tasks send one row a term."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        import pyarrow as pa
+
+        vectors = Vectors(sent.value, np.ones(len(sent.value)))
+        rows, count = 0, np.zeros(len(sent.value), np.int64)
+        for batch in batches:
+            rows += batch.num_rows
+            for part in slices(batch):
+                for value in part.column(0).to_pylist():
+                    count[list({i for word in set(_words((value or "").lower())) for i in vectors.numbers(word)})] += 1
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some], pa.int64()), pa.array(np.r_[rows, count[some]], pa.int64())], names=["term", "n"])
+
+    found = {r.term: r.n for r in docs.select(text).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return found.get(-1, 0), np.array([found.get(i, 0) for i in range(len(terms))], np.int64)
+
+
+def choose_terms(sample: DataFrame, docs: DataFrame, count: int = TERMS, least: float = LEAST, text: str = "text") -> tuple[dict[str, int], np.ndarray]:
     """Term numbers and inverse document frequencies."""
     total = {r.label == 1: r.n for r in sample.groupBy((F.col("label") == 1).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = total.get(True, 0), total.get(False, 0)
@@ -78,9 +103,12 @@ def choose_terms(sample: DataFrame, count: int = TERMS, least: float = LEAST) ->
         return {}, np.zeros(0)
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     chi = (pos + neg) * F.pow(p * (neg - n) - n * (pos - p), 2) / ((p + n) * (pos + neg - p - n + 1e-9) * pos * neg)
-    scored = term_counts(sample).withColumn("chi", chi).where((p * neg > n * pos) & (F.col("chi") >= least))
-    rows = scored.orderBy(F.desc("chi"), "term").limit(count).collect()
-    return {r.term: i for i, r in enumerate(rows)}, np.array([math.log((1 + pos + neg) / (1 + r.p + r.n)) + 1 for r in rows])
+    scored = materialise(term_counts(sample).withColumn("chi", chi), "terms")
+    toxic = scored.where((p * neg > n * pos) & (F.col("chi") >= least)).orderBy(F.desc("chi"), "term").collect()
+    clean = scored.where(p * neg < n * pos).orderBy(F.desc("chi"), "term").limit(count).collect()
+    terms = {r.term: i for i, r in enumerate([*toxic, *clean])}
+    rows, with_term = document_counts(docs, terms, text)
+    return terms, np.log((1 + rows) / (1 + with_term)) + 1
 
 
 class Vectors:
@@ -89,16 +117,19 @@ class Vectors:
     def __init__(self, terms: dict[str, int], idf: np.ndarray):
         self.terms, self.idf, self.known = terms, idf, {}
 
+    def numbers(self, word: str) -> tuple[int, ...]:
+        known = self.known
+        ids = known.get(word)
+        if ids is None:
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            ids = known[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
+        return ids
+
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         count: Counter = Counter()
-        known = self.known
         for word in _words((text or "").lower()):
-            ids = known.get(word)
-            if ids is None:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                ids = known[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-            for i in ids:
+            for i in self.numbers(word):
                 count[i] += 1
         ids = np.array(sorted(count), np.int64)
         w = np.array([(1 + math.log(count[i])) * self.idf[i] for i in ids.tolist()])
@@ -131,6 +162,10 @@ class Index:
                 self.bound[i, k // BLOCK] = max(self.bound[i, k // BLOCK], x)
         # postings of each block, by term
         self.lists = {b: tuple(np.array(x)[np.argsort(v[0], kind="stable")] for x in v) for b, v in lists.items()}
+        # and those of each term, by point
+        flat = sorted((i, k, x) for k, (ids, w) in enumerate(points) for i, x in zip(ids, w))
+        self.points, self.values = np.array([k for _, k, _ in flat], np.int64), np.array([x for _, _, x in flat])
+        self.start = np.searchsorted(np.array([i for i, _, _ in flat], np.int64), np.arange(n_terms + 1))
         self.memory: dict = {}
 
     def search(self, ids: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -140,19 +175,36 @@ class Index:
         query = np.zeros(len(self.bound))
         query[ids] = w
         best_k, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in order.tolist():
+        for b in order[:FIRST].tolist():
             if bound[b] <= 0 or len(best_s) == self.nearest and bound[b] < best_s[-1] - 1e-9:
-                break
+                return best_k, best_s
             terms, at, y = self.lists[b]
             s = np.bincount(at, query[terms] * y, BLOCK)
             if skip // BLOCK == b:
                 s[skip % BLOCK] = 0
             at = np.flatnonzero(s > 0)
             best_k, best_s = np.r_[best_k, b * BLOCK + at], np.r_[best_s, s[at]]
-            top = np.lexsort((best_k, -best_s.round(9)))[: self.nearest]
-            best_k, best_s = best_k[top], best_s[top]
+            best_k, best_s = self.best(best_k, best_s)
+        least = best_s[-1] - 1e-9 if len(best_s) == self.nearest else 0.0
+        open_ = (bound > 0) & (bound >= least)
+        open_[order[:FIRST]] = False
+        if open_.any():
+            of = [slice(self.start[i], self.start[i + 1]) for i in ids.tolist()]
+            s = np.bincount(np.concatenate([self.points[o] for o in of]), np.concatenate([x * self.values[o] for x, o in zip(w.tolist(), of)]), len(self.n))
+            if skip >= 0:
+                s[skip] = 0
+            at = np.flatnonzero((s > 0) & (s >= least))
+            at = at[open_[at // BLOCK]]
+            best_k, best_s = self.best(np.r_[best_k, at], np.r_[best_s, s[at]])
         return best_k, best_s
 
+    def best(self, k: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(s) > 4 * self.nearest:  # the sort is for those that may be among the nearest
+            near = s >= np.partition(s, -self.nearest)[-self.nearest] - 2e-9
+            k, s = k[near], s[near]
+        top = np.lexsort((k, -s.round(9)))[: self.nearest]
+        return k[top], s[top]
+
     def vote(self, ids: np.ndarray, w: np.ndarray, leave: tuple[int, int] | None = None) -> tuple[float, list]:
         """Share of label 1 among the nearest, -1 without any; evidence.
 
@@ -224,7 +276,7 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame, parts: int = PARTS, part: int = PART, rows: int = SAMPLE, text: str = "text", key: str = "doc_id") -> Model:
     sample = labelled(docs, labels, "toxic", parts, part, rows, text, key)
-    terms, idf = choose_terms(sample)
+    terms, idf = choose_terms(sample, docs, text=text)
 
     def make():
         vectors = Vectors(terms, idf)
@@ -262,8 +314,6 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
     def keep(batches):
         import pyarrow as pa
 
-        from .common import slices
-
         for batch in batches:
             for part in slices(batch):
                 texts = part.column(part.schema.get_field_index(text)).to_pylist()
