@@ -137,6 +137,14 @@ def test_decontamination_in_passes(spark, monkeypatch):
     assert sorted(map(tuple, df.collect()), key=str) == brute_hits(texts, items)
 
 
+def test_decontamination_in_passes_keeps_rows(spark, monkeypatch):
+    items = [(i, prose(i, 15)) for i in range(5)]
+    texts = [(1, prose(0, 15)), (1, prose(0, 15)), (1, prose(1, 15) + " more"), (None, prose(2, 15)), (None, prose(2, 15)), (None, "no id"), (2, None), (2, "")]
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 100)
+    df = decontaminate.report(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, df.collect()), key=str) == brute_hits(texts, items)
+
+
 def brute_components(texts, words=4, percent=85):
     sets = []
     for _, t in texts:

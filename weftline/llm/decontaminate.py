@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, utf8
+from .common import map_rows, materialise, table, utf8
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass holds as patterns; more is searched in further passes.
@@ -174,12 +174,17 @@ def search(
     """``key, n_words, spans array<struct<first,after>>, items array<string>`` of every row of ``docs``.
 
     ``spans`` are merged ranges of hit words, ``items`` the ids (as sorted
-    strings) whose windows occur. With several passes, ``key`` must be unique.
+    strings) whose windows occur. For several passes every row is written once with
+    a number of its own, by which its results are put together.
     """
     kind = docs.schema[key].dataType.simpleString()
     ddl = f"`{key}` {kind}, n_words bigint, spans array<struct<first:bigint,after:bigint>>, items array<string>"
     blocks = passes(benchmark, item_text, item)
     sc = docs.sparkSession.sparkContext
+    several = len(blocks) > 1
+    rows = docs.select(key, text)
+    if several:
+        rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
     def one(block) -> DataFrame:
         sent = sc.broadcast(block)
@@ -187,22 +192,22 @@ def search(
         def make():
             matcher = Matcher(sent.value, window)
 
-            def run(keys, texts):
+            def run(keys, texts, *numbers):
                 n, spans, items = matcher.run(texts)
-                return {key: keys, "n_words": n, "spans": [[{"first": a, "after": b} for a, b in s] for s in spans], "items": [sorted(i) for i in items]}
+                return dict(zip(["_row"], numbers)) | {key: keys, "n_words": n, "spans": [[{"first": a, "after": b} for a, b in s] for s in spans], "items": [sorted(i) for i in items]}
 
             return run
 
-        return map_rows(docs.select(key, text), make, ddl)
+        return map_rows(rows, make, "_row bigint, " + ddl if several else ddl)
 
     found = one(blocks[0])
-    if len(blocks) == 1:
+    if not several:
         return found
     for block in blocks[1:]:
         found = found.unionByName(one(block))
-    parts = found.groupBy(key).agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
+    parts = found.groupBy("_row").agg(
+        F.first(key).alias(key), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    ).drop("_row")
 
     def join(keys, n, spans, items):
         return {key: keys, "n_words": n, "spans": [[{"first": a, "after": b} for a, b in merged([(s["first"], s["after"]) for s in x])] for x in spans], "items": items}
