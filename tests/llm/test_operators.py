@@ -75,6 +75,13 @@ def test_html():
     assert html.main_text("<p>" + "plain words " * 20) == ("plain words " * 20).strip()
 
 
+def test_html_linked_lines_of_an_article():
+    words = "Some words that make a paragraph of an article, long enough to count as text. " * 2
+    page = f"""<body><nav><a href="/">Home</a></nav><article><h1><a href="/t">Linked title</a></h1><p>{words}</p>
+    <ul><li><a href="/i">Linked item</a></li></ul><p><a href="/p">Linked paragraph</a></p><div class="share"><a href="/s">Share</a></div></article><p><a href="/o">Other</a></p></body>"""
+    assert html.main_text(page).split("\n") == ["Linked title", words.strip(), "Linked item", "Linked paragraph"]
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, "<article><p>x</article>")], "page_id long, url string, html string")
     assert sorted(map(tuple, html.extract(df).collect())) == [(1, "u", ""), (1, "u", ""), (2, None, "x")]

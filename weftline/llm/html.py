@@ -1,8 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element. A line's weight is
-its text length outside links; lines inside an ``article`` or ``main`` element
-weigh at least :data:`ARTICLE_WEIGHT`, and lines in boilerplate elements (by tag,
+its text length outside links; lines inside an ``article`` or ``main`` element,
+linked or not, weigh at least :data:`ARTICLE_WEIGHT`, and lines in boilerplate elements (by tag,
 role, class or id) have no weight. Weights are summed over sliding windows of
 :data:`WINDOW` lines. A surge point is where the sum climbs over the page's
 threshold, a dive point where it falls to nothing; lines with weight between a
@@ -63,7 +63,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
                 weight = 0 if boiler else max(0, len(line) - min(linked, len(line)))
-                if main and not boiler and weight:
+                if main and not boiler:  # however much of it is linked
                     weight = max(weight, ARTICLE_WEIGHT)
                 out.append((line, weight, bool(main)))
             text.clear()
