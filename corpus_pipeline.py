@@ -44,7 +44,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Nearest neighbours, components and merged suffixes have no SQL form; tests hold the stages against brute force.
+#: Nearest neighbours, components and merged suffixes have no SQL form; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 

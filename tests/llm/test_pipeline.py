@@ -95,3 +95,42 @@ def test_near_copies_on_five_words(spark):
     want = brute_kept(texts, 5, 80)
     assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == want
     assert want != brute_kept(texts, 4, 85)
+
+
+def test_run_equals_a_plain_version(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from weftline.llm import bpe
+
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randint(0, 9**9)}" for _ in range(n)]
+    passage, item = words(55), words(30)
+    texts = [" ".join(words(80)) for _ in range(120)]
+    toxic = [" ".join([*words(40), "vile", "nasty", "filthy", *words(40)]) for _ in range(40)]
+    near = []
+    for t in texts[:10]:
+        w = t.split()
+        w[40] = "other"
+        near.append(" ".join(w))
+    shared = [" ".join([*words(70), *passage, *words(70)]) for _ in range(6)]
+    leaked = [" ".join([*words(40), *item[i : i + 10], *words(40)]) for i in range(5)] + [" ".join([*words(40), *item[:9], *words(40)])]
+    every = [*texts, *toxic, *near, *shared, *leaked]
+    labels = [(i, int(" vile " in t)) for i, t in enumerate(every)]
+    spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(every)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    kept = [(i, t) for i, t in enumerate(every) if " vile " not in t]
+    kept = [kept[k] for k in brute_kept([t for _, t in kept], 5, 80)]
+    kept = list(zip([i for i, _ in kept], brute_passages([t for _, t in kept], 51, 400)))
+    windows = {tuple(item[i : i + 10]) for i in range(21)}
+    kept = [(i, t) for i, t in kept if not any(tuple(t.split()[k : k + 10]) in windows for k in range(len(t.split())))]
+    want = {i: t for i, t in kept}
+    assert len(want) == len(every) - 40 - 10 - 5 and sum(len(t) < len(every[i]) for i, t in want.items()) == 6
+
+    written, materialise = [], corpus_pipeline.materialise
+    monkeypatch.setattr(corpus_pipeline, "materialise", lambda df, label: written.append(materialise(df, label)) or written[-1])
+    ids = {x.doc_id: x.ids for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    got = {x.doc_id: (x.text, x.n_chars) for x in written[-2].collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+    plain = bpe.encode(spark.createDataFrame(list(want.items()), "doc_id long, text string"))
+    assert ids == {x.doc_id: x.ids for x in plain.collect()}
