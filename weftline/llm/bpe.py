@@ -5,6 +5,7 @@ is normalised (NFC, lower case), cut into pieces by the file's pattern, and the
 distinct new pieces of a batch are merged together: all their symbols lie in one
 flat array, each round finds every pair's rank by binary search in the sorted
 pair keys, takes the lowest rank of each piece and merges all its occurrences.
+Pieces of over :data:`LONG` bytes are merged one by one with a heap instead.
 
 Defined results: null is the empty text; an empty text has no ids and decodes to
 the empty text; white space is dropped; strings of the special tokens inside a
@@ -16,6 +17,7 @@ ignored by :func:`encode` and kept by :func:`encode_documents`.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable
@@ -30,6 +32,8 @@ from .common import map_rows
 #: Pieces kept by a worker between batches; beyond it the memory is emptied.
 CACHE_PIECES = 100_000
 NONE = np.int64(1 << 40)
+#: Bytes of a piece beyond which it is merged by itself: a round looks at all symbols of a piece, so rounds would take the square of its length.
+LONG = 512
 
 
 def default_vocabulary() -> str:
@@ -73,6 +77,7 @@ class Bpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
+        self.rules: dict[int, tuple[int, int]] | None = None
         self.ids_of: dict[str, bytes] = {}
         self.text_of: dict[str, bytes] = {}
 
@@ -84,6 +89,8 @@ class Bpe:
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each non-empty word, all words merged together."""
+        if not words:
+            return []
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
         ids = self.inner[flat]
@@ -123,6 +130,37 @@ class Bpe:
             ids, word = ids[~gone], word[~gone]
         return out
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word: pairs wait in a heap by rank and place, so time is near to linear."""
+        ids = self.inner[np.frombuffer(word, np.uint8)].tolist()
+        ids[-1] = int(self.final[word[-1]])
+        if self.rules is None:
+            self.rules = {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), self.made.tolist())}
+        n, rules, shift = len(ids), self.rules, self.shift
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+
+        def pair(a: int) -> None:
+            b = right[a]
+            if b < n and (rule := rules.get(ids[a] << shift | ids[b])):
+                heapq.heappush(heap, (rule[0], a, ids[a], ids[b], rule[1]))
+
+        heap: list[tuple[int, int, int, int, int]] = []
+        for a in range(n - 1):
+            pair(a)
+        while heap:
+            _, a, x, y, made = heapq.heappop(heap)
+            b = right[a]
+            if ids[a] != x or b >= n or ids[b] != y:
+                continue  # one of the two has been merged since
+            ids[a], ids[b] = made, -1
+            right[a] = right[b]
+            if right[b] < n:
+                left[right[b]] = a
+            pair(a)
+            if left[a] >= 0:
+                pair(left[a])
+        return np.array([i for i in ids if i >= 0], np.int64)
+
     def decode(self, ids: Iterable[int]) -> bytes:
         """Tokens joined by spaces: the file has no decoder."""
         return b" ".join(map(self.tokens.__getitem__, ids))
@@ -132,7 +170,10 @@ class Bpe:
             self.ids_of.clear()
             self.text_of.clear()
         new = [p for p in dict.fromkeys(pieces) if p not in self.ids_of]
-        for piece, ids in zip(new, self.merge([p.encode("utf-8", "surrogatepass") for p in new]) if new else []):
+        data = [p.encode("utf-8", "surrogatepass") for p in new]
+        short = iter(self.merge([d for d in data if len(d) <= LONG]))
+        for piece, word in zip(new, data):
+            ids = next(short) if len(word) <= LONG else self.merge_long(word)
             self.ids_of[piece] = ids.astype("<u4").tobytes()
             self.text_of[piece] = self.decode(ids.tolist())
 
