@@ -58,7 +58,9 @@ def test_bpe_odd_texts():
     from tokenizers import Tokenizer
 
     t, b = Tokenizer.from_file(bpe.default_vocabulary()), bpe.Bpe()
-    texts = ["a" * 2000, "<|endoftext|>x", "ΑΣ Σ", "İ²Ⅷ٣", "\x1c\x85 x", "don't'll"]
+    r = random.Random(2)
+    long = "".join(r.choice("abcdefgh") for _ in range(80_000))
+    texts = ["a" * 2000, "ab" * 3000, "é" * 1001, long, "<|endoftext|>x", "ΑΣ Σ", "İ²Ⅷ٣", "\x1c\x85 x", "don't'll"]
     for text, (ids, decoded) in zip(texts, b.encode_batch(texts)):
         e = t.encode(text, add_special_tokens=False)
         assert np.frombuffer(ids, "<u4").tolist() == e.ids
@@ -82,6 +84,15 @@ def test_html_linked_lines_of_an_article():
     assert html.main_text(page).split("\n") == ["Linked title", words.strip(), "Linked item", "Linked paragraph"]
 
 
+def test_html_without_article():
+    words = "Some words that make a paragraph of a text, long enough to count as the main part of a page. " * 2
+    bare = f"<body><div><a href=/>Home</a> <a href=/n>News</a></div><div id=text><h2>Head of it</h2><p>{words}</p><p>Short.</p><p>{words}</p></div><div><a href=/a>About</a></div></body>"
+    assert html.main_text(bare).split("\n") == ["Head of it", words.strip(), "Short.", words.strip()]
+    # windows decide beside an article too: a long block outside it counts, boilerplate within does not
+    mixed = f"<article><h1>Title</h1><p>{words}</p><div class=ad>Buy now, {words}</div></article><div>{words}</div>"
+    assert html.main_text(mixed).split("\n") == ["Title", words.strip(), words.strip()]
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, "<article><p>x</article>")], "page_id long, url string, html string")
     assert sorted(map(tuple, html.extract(df).collect())) == [(1, "u", ""), (1, "u", ""), (2, None, "x")]

@@ -1,12 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element. A line's weight is
-its text length outside links; lines inside an ``article`` or ``main`` element,
-linked or not, weigh at least :data:`ARTICLE_WEIGHT`, and lines in boilerplate elements (by tag,
-role, class or id) have no weight. Weights are summed over sliding windows of
-:data:`WINDOW` lines. A surge point is where the sum climbs over the page's
-threshold, a dive point where it falls to nothing; lines with weight between a
-surge and its dive are the main text.
+its text length outside links (none if most of it is linked), and :data:`ARTICLE_BONUS` more inside an
+``article`` or ``main`` element (linked or not); lines in boilerplate elements
+(by tag, role, class or id) have no weight. Weights are summed over sliding
+windows of :data:`WINDOW` lines. A surge point is where the sum climbs over the
+page's threshold, a dive point where it falls to nothing; lines with weight
+between a surge and its dive are the main text, inside an ``article`` or not.
 
 Defined results: null and empty pages, and pages without a surge, have the empty
 text; character references are decoded once, after markup is stripped; repeated
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, table
 
 WINDOW = 3
-ARTICLE_WEIGHT = 200
+#: Added to the weight of a line inside an article: a short paragraph or a linked heading counts there.
+ARTICLE_BONUS = 40
 #: Least window sum of a surge, in characters.
 SURGE = 120
 
@@ -49,32 +50,31 @@ ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 CLOSING = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """``(text, weight, in article)`` of each block that has text."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int]]:
+    """Text and weight of each block that has text."""
+    out: list[tuple[str, int]] = []
     text: list[str] = []
-    linked = 0
+    free: list[str] = []  # outside links
     stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, main
     boiler = main = anchor = 0
 
     def end() -> None:
-        nonlocal linked
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                weight = 0 if boiler else max(0, len(line) - min(linked, len(line)))
-                if main and not boiler:  # however much of it is linked
-                    weight = max(weight, ARTICLE_WEIGHT)
-                out.append((line, weight, bool(main)))
+                plain = " ".join(entities.unescape("".join(free)).split())
+                weight = 0 if boiler or 2 * len(plain) < len(line) else len(plain)
+                if main and not boiler:
+                    weight += ARTICLE_BONUS
+                out.append((line, weight))
             text.clear()
-        linked = 0
+            free.clear()
 
     def put(piece: str) -> None:
-        nonlocal linked
         if piece:
             text.append(piece)
-            if anchor:
-                linked += len(piece)
+            if not anchor:
+                free.append(piece)
 
     at = 0
     while m := TAG.search(page, at):
@@ -126,14 +126,12 @@ def main_text(page: str | None) -> str:
     found = lines(page or "")
     if not found:
         return ""
-    weight = np.array([w for _, w, _ in found], np.int64)
-    if any(a and w for _, w, a in found):
-        weight[[not a for _, _, a in found]] = 0
+    weight = np.array([w for _, w in found], np.int64)
     total = np.cumsum(np.r_[0, weight, np.zeros(WINDOW - 1, np.int64)])
     sums = total[WINDOW:] - total[:-WINDOW]
     need = min(SURGE, max(1, int(sums.max()) // 4))
     keep, inside = [], False
-    for i, (line, _, _) in enumerate(found):
+    for i, (line, _) in enumerate(found):
         if not inside:
             inside = sums[i] >= need and weight[i] > 0
         elif sums[i] == 0:
