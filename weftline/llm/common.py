@@ -7,7 +7,7 @@ the size of the table, the partition or the Arrow batch.
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,11 +15,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 SLICE_ROWS = 2048
 #: Rows of an Arrow batch while a step is written: the JVM and the worker each hold a batch whole.
 ARROW_ROWS = "2000"
+WHILE_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS, "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = getattr(shared_dir, "own", None)
         if named is None or not os.path.isdir(named):
             named = shared_dir.own = tempfile.mkdtemp(prefix="weftline-")
@@ -46,21 +50,74 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage; the files survive the loss of any executor.
+    Cuts the lineage; the files survive the loss of any executor. While it is
+    written, Arrow batches are small and Spark drops the step's shuffle files at
+    its end (nothing reads them again); both settings are then put back.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex}"
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, ARROW_ROWS)
+    before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(setting, before)
-    # shuffle files of finished steps go once the driver's JVM finds them unreachable
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete the files of materialised steps that nothing reads any more."""
+    for df in steps:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def frugal() -> None:
+    """Have a worker give large freed blocks back to the system instead of keeping them."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # fixed values of glibc: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+        libc.mallopt(-3, 2 << 20)
+        libc.mallopt(-1, 4 << 20)
+
+
+def trim() -> None:
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow``, in workers that hold no more memory between tasks than they must."""
+
+    def bounded(batches):
+        frugal()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def most_frequent(df: DataFrame, n: str, rows: int) -> DataFrame:
+    """The rows of ``df`` with the largest ``n``, ``rows`` at most: of equal ``n`` all or none.
+
+    Only the distinct values of ``n`` come to the driver (counts that add up to N
+    have fewer than the root of 2 N), never the candidates of every task.
+    """
+    least, held = None, 0
+    for value, m in sorted((tuple(r) for r in df.groupBy(n).agg(F.count(F.lit(1))).collect()), reverse=True):
+        held += m
+        if held > rows:
+            break
+        least = value
+    return df.where(F.lit(False) if least is None else F.col(n) >= F.lit(least))
 
 
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -105,7 +162,7 @@ def map_rows(
                     schema=schema,
                 )
 
-    return df.mapInArrow(run, StructType.fromDDL(ddl))
+    return map_batches(df, run, StructType.fromDDL(ddl))
 
 
 def utf8(text: str | bytes | None) -> bytes:

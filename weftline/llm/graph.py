@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,6 +25,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = labels.join(near, F.col("k") == F.col("x")).join(up, F.col("c") == F.col("p"))
         n = F.least("c", "m", "pc")
         new = materialise(new.select("k", n.alias("c"), (n < F.col("c")).alias("moved")), "labels")
-        labels = new.select("k", "c")
+        discard(labels)
+        labels = new
         if not new.where("moved").limit(1).count():
-            return labels
+            discard(both)
+            return labels.select("k", "c")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialise, slices, table, utf8
+from .common import arrow_schema, discard, map_batches, materialise, most_frequent, slices, table, utf8
 from .graph import components
 
 WORDS = 4
@@ -42,15 +42,16 @@ PERCENT = 85
 #: Frequent n-grams that are ordered by count (the rest only by hash).
 FREQUENT = 1_000_000
 #: N-grams of a task counted at a time, and repeats from which one is frequent.
-COUNTED, REPEATS = 4_000_000, 3
-BUCKET_ROWS = 400_000
+COUNTED, REPEATS = 1_000_000, 3
+#: Prefix rows of a bucket, about, and those a task packs at a time.
+BUCKET_ROWS, PACKED = 150_000, 150_000
 FRAGMENTS = 4
 #: Nodes or ids up to which a side is broadcast; beyond it joins shuffle.
 SMALL = 500_000
 GROUP = 2048
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -143,9 +144,11 @@ def read_sets(docs: DataFrame, words: int, text: str, key: str, most: int = FREQ
         if held:
             yield count()
 
-    both = materialise(docs.select(key, text).mapInArrow(run, ddl), "sets")
-    rows = both.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("m").alias("m")).orderBy(F.desc("m"), "gram").limit(most).select("gram").toPandas()
-    grams = rows["gram"].to_numpy(np.int64).view(np.uint64)
+    both = materialise(docs.select(key, text).transform(map_batches, run, ddl), "sets")
+    counted = materialise(both.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("m").alias("m")), "often")
+    rows = most_frequent(counted, "m", most).toArrow().sort_by([("m", "descending"), ("gram", "ascending")])
+    discard(counted)
+    grams = rows["gram"].to_numpy().astype(np.int64).view(np.uint64)
     by = np.argsort(grams)
     return both.where("gram IS NULL").select(key, "n", "k", "sketch"), Order(grams[by], (len(grams) - np.arange(len(grams)))[by])
 
@@ -221,7 +224,7 @@ def shared_prefixes(docs: DataFrame, order, percent: int, words: int, text: str,
             rows["gram"], rows["k"], rows["n"] = first, k, len(grams)
             held.append((rows, ranks > 0))
             size += len(rows)
-            if size >= 400_000:
+            if size >= PACKED:
                 yield pack()
                 held, size = [], 0
         if held:
@@ -233,6 +236,7 @@ def shared_prefixes(docs: DataFrame, order, percent: int, words: int, text: str,
 
         def out():
             rows = np.unique(np.concatenate(held)) if held else np.zeros(0, row)
+            held.clear()
             if now is not None and now >= 0 and len(rows):
                 same = rows["gram"][1:] == rows["gram"][:-1]
                 rows = rows[np.r_[False, same] | np.r_[same, False]]
@@ -248,8 +252,8 @@ def shared_prefixes(docs: DataFrame, order, percent: int, words: int, text: str,
         if held:
             yield out()
 
-    sent = docs.select(text).mapInArrow(send, "bucket bigint, data binary")
-    return sent.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(share_rows, "gram bigint, k bigint, n bigint")
+    sent = docs.select(text).transform(map_batches, send, "bucket bigint, data binary")
+    return sent.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").transform(map_batches, share_rows, "gram bigint, k bigint, n bigint")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -280,13 +284,15 @@ def verify(pairs: DataFrame, docs: DataFrame, ids: DataFrame, order, percent: in
                             ks.append(k), ns.append(len(grams)), fs.append(i), gs.append(own.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ns, pa.int64()), pa.array(fs, pa.int32()), pa.array(gs, pa.list_(pa.int64()))], names=["k", "n", "f", "g"])
 
-    parts = texts.select("k", "text").mapInArrow(cut, "k bigint, n bigint, f int, g array<bigint>").dropDuplicates(["k", "f"])
+    parts = texts.select("k", "text").transform(map_batches, cut, "k bigint, n bigint, f int, g array<bigint>").dropDuplicates(["k", "f"])
     parts = materialise(parts, "fragments")
     a = parts.select(F.col("k").alias("a"), F.col("n").alias("na"), "f", F.col("g").alias("ga"))
     b = parts.select(F.col("k").alias("b"), F.col("n").alias("nb"), "f", F.col("g").alias("gb"))
     partial = pairs.join(a, "a").join(b, ["b", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("c"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-    return total.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b")
+    links = materialise(total.where(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * percent).select("a", "b"), "links")
+    discard(owners, parts)
+    return links
 
 
 def cross_pairs(rows: DataFrame, sketches: DataFrame, percent: int, spanning: bool) -> DataFrame:
@@ -318,7 +324,7 @@ def cross_pairs(rows: DataFrame, sketches: DataFrame, percent: int, spanning: bo
                     ok.append(int(np.bitwise_count(fold(p, width) ^ fold(q, width)).sum()) * (100 + percent) <= (x + y) * (100 - percent))
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    two = two.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a bigint, b bigint")
+    two = two.select("a", "b", "na", "nb", "sa", "sb").transform(map_batches, near, "a bigint, b bigint")
     found = rows.join(open_.where("m > 2").select("gram", "m"), "gram").join(sketches.select("k", "sketch"), "k")
     blocks = F.ceil(F.col("m") / GROUP).cast("int")
     own = F.pmod(F.xxhash64("k"), blocks).cast("int")
@@ -327,7 +333,7 @@ def cross_pairs(rows: DataFrame, sketches: DataFrame, percent: int, spanning: bo
     met = met.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     groups = met.groupBy("gram", "lo", "hi").agg(F.collect_list(F.struct("k", "n", "c", "own", "sketch")).alias("x")).where(F.size("x") > 1)
     row = np.dtype([("a", "<i8"), ("b", "<i8")])
-    buckets = 64
+    buckets = max(64, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def pair(batches):
         held, size = [], 0
@@ -349,21 +355,32 @@ def cross_pairs(rows: DataFrame, sketches: DataFrame, percent: int, spanning: bo
                         pairs["a"], pairs["b"] = left, right
                         held.append(pairs)
                         size += len(pairs)
-                    if size > 500_000:
+                    if size > 250_000:
                         yield out()
                         held, size = [], 0
         if held:
             yield out()
 
     def once(batches):
-        # a pair that shares several n-grams comes from several tasks
-        held = [np.frombuffer(d.as_py(), row) for batch in batches for d in batch.column(1)]
-        if held:
+        # a pair that shares several n-grams comes from several tasks; what still repeats here, distinct() drops
+        held, size = [], 0
+
+        def out():
             pairs = np.unique(np.concatenate(held))
             for i in range(0, len(pairs), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs["a"][i : i + 100_000]), pa.array(pairs["b"][i : i + 100_000])], names=["a", "b"])
 
-    many = groups.select("lo", "hi", "x").mapInArrow(pair, "bucket bigint, data binary").repartition(buckets, "bucket").mapInArrow(once, "a bigint, b bigint")
+        for batch in batches:
+            for data in batch.column(1):
+                held.append(np.frombuffer(data.as_py(), row))
+                size += len(held[-1])
+            if size > 1_000_000:
+                yield from out()
+                held, size = [], 0
+        if held:
+            yield from out()
+
+    many = groups.select("lo", "hi", "x").transform(map_batches, pair, "bucket bigint, data binary").repartition(buckets, "bucket").transform(map_batches, once, "a bigint, b bigint")
     return two.union(many).distinct()
 
 
@@ -439,9 +456,11 @@ def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, text: s
         c = rows.withColumn("c", F.col("k")) if labels is None else rows.join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
         pairs = materialise(cross_pairs(c, sketches, percent, spanning), "pairs")
         if pairs.limit(1).count():
-            found = materialise(verify(pairs, docs, ids, order, percent, words, text, key), "links")
+            found = verify(pairs, docs, ids, order, percent, words, text, key)
             links = found if links is None else links.union(found)
             labels = components(links)
+        discard(pairs)
+    discard(rows, sketches)
     if labels is None:
         labels = ids.where("false").select("k", F.col("k").alias("c"))
     first = ids.where("k IS NOT NULL").groupBy("k").agg(F.min(key).alias("first"))
