@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table, utf8
+from .common import discard, map_batches, materialise, slices, table, utf8
 from .jaccard import CACHE_WORDS, WordHashes
 
 LENGTH = 400
@@ -54,8 +55,12 @@ PREFIX_WORDS = 16
 HOT = 64
 #: Anchors with one prefix in a task from which it is hot.
 HOT_IN_TASK = 8
-BUCKET_ROWS = 400_000
-RUN_BYTES = 16 << 20
+#: Anchors of a bucket, about, and those a task packs at a time.
+BUCKET_ROWS, PACKED = 150_000, 150_000
+#: Bytes of suffixes that a task sorts into one run.
+RUN_BYTES = 8 << 20
+#: Positions of a text looked at together for their anchors.
+POSITIONS = 1 << 24
 #: Rows up to which a side is broadcast; beyond it joins shuffle.
 SMALL = 300_000
 
@@ -106,14 +111,15 @@ def leaders(data: bytes, length: int = LENGTH, prefix: int = PREFIX, step: int =
     n = (len(data) - length) // step + 1
     if n <= 0:
         return np.zeros(0, np.int64)
+    if n > POSITIONS:  # a position's anchor depends on its own string only
+        parts = range(0, n, POSITIONS)
+        return np.concatenate([leaders(data[i * step : (min(n, i + POSITIONS) - 1) * step + length], length, prefix, step) + i * step for i in parts])
     width = (length - prefix) // step + 1
     # 8 bytes at every position that an anchor may have
     v = np.ndarray((n + width - 1,), "<u8", data, strides=(step,)) * np.uint64(0x9E3779B97F4A7C15)
     v = (v ^ (v >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     v >>= np.uint64(28)
     v <<= np.uint64(28)
-    if len(v) >= 1 << 28:
-        raise ValueError("a text of 256 MB or more")
     v |= np.arange(len(v), dtype=np.uint64)  # of equal hashes the first is least
     span = 1
     while 2 * span <= width:
@@ -195,7 +201,7 @@ def candidates(texts: DataFrame, n_bytes: int, length: int, prefix: int, step: i
                         rows["r"], rows["p"], rows["n"] = r, at, 1
                         held.append(rows)
                         size += len(rows)
-                if size >= 400_000:
+                if size >= PACKED:
                     yield out()
                     held, size = [], 0
         if held:
@@ -217,8 +223,8 @@ def candidates(texts: DataFrame, n_bytes: int, length: int, prefix: int, step: i
                 part = rows[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part["r"]), pa.array(part["p"]), pa.array(hot[i : i + 50_000])], names=["r", "p", "hot"])
 
-    sent = texts.select("r", "text").mapInArrow(send, "bucket bigint, data binary")
-    return by_bucket(sent, buckets).mapInArrow(find, "r bigint, p int, hot boolean")
+    sent = texts.select("r", "text").transform(map_batches, send, "bucket bigint, data binary")
+    return by_bucket(sent, buckets).transform(map_batches, find, "r bigint, p int, hot boolean")
 
 
 # --- sorted runs and their merge -------------------------------------------------
@@ -402,8 +408,8 @@ def merged_repeats(anchored: DataFrame, n_anchors: int, length: int, prefix: int
             solve()
             yield spans_batch(rs, starts, ends)
 
-    sent = anchored.select("r", "text", "at").mapInArrow(send, "bucket bigint, data binary")
-    return by_bucket(sent, buckets).mapInArrow(merge, "r bigint, start int, end int")
+    sent = anchored.select("r", "text", "at").transform(map_batches, send, "bucket bigint, data binary")
+    return by_bucket(sent, buckets).transform(map_batches, merge, "r bigint, start int, end int")
 
 
 def spans_batch(rs, starts, ends) -> pa.RecordBatch:
@@ -445,42 +451,43 @@ def counted_repeats(anchored: DataFrame, length: int, prefix: int, step: int = 1
         for _, _, a, b in strings(batches):
             held.append((a.view(np.int64), b.view(np.int64)))
             size += len(a)
-            if size > 1_000_000:
+            if size > 250_000:
                 yield out()
                 held, size = [], 0
         if held:
             yield out()
 
     source = anchored.where(F.exists("at", lambda x: x["hot"])).select("r", "text", "at")
-    repeated = source.mapInArrow(count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b")
+    repeated = source.transform(map_batches, count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b")
     repeated = materialise(repeated, "strings")
     if repeated.count() <= SMALL:
-        rows = repeated.toPandas()
-        known: dict[int, set[int]] = {}
-        for a, b in zip(rows["a"].tolist(), rows["b"].tolist()):
-            known.setdefault(a, set()).add(b)
-        sent = anchored.sparkSession.sparkContext.broadcast((np.array(sorted(known), np.int64), known))
+        rows = repeated.toArrow()
+        known = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("a", "b")])
+        known = known[:, np.lexsort(known[::-1])]
+        sent = anchored.sparkSession.sparkContext.broadcast(known)
 
         def mark(batches):
-            first_hashes, known = sent.value
-            if not len(first_hashes):
+            first, second = sent.value
+            if not len(first):
                 return
+            ties = int(np.diff(np.flatnonzero(np.r_[True, first[1:] != first[:-1], True])).max())
             for r, at, a, b in strings(batches):
                 a, b = a.view(np.int64), b.view(np.int64)
-                near = first_hashes[np.minimum(np.searchsorted(first_hashes, a), len(first_hashes) - 1)] == a
-                at, a, b = at[near], a[near], b[near]
-                starts = at[np.fromiter((y in known[x] for x, y in zip(a.tolist(), b.tolist())), bool, len(at))]
-                if len(starts):
-                    first, last = runs_of(starts, length)
-                    yield spans_batch([r] * len(first), first, last)
+                place, ok = np.searchsorted(first, a), np.zeros(len(at), bool)
+                for i in range(ties):  # strings that share the first hash
+                    k = np.minimum(place + i, len(first) - 1)
+                    ok |= (first[k] == a) & (second[k] == b)
+                if ok.any():
+                    start, end = runs_of(at[ok], length)
+                    yield spans_batch([r] * len(start), start, end)
 
-        return source.mapInArrow(mark, "r bigint, start int, end int")
+        return source.transform(map_batches, mark, "r bigint, start int, end int")
 
     def every(batches):
         for r, at, a, b in strings(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["r", "start", "a", "b"])
 
-    found = source.mapInArrow(every, "r bigint, start int, a bigint, b bigint").join(repeated, ["a", "b"])
+    found = source.transform(map_batches, every, "r bigint, start int, a bigint, b bigint").join(repeated, ["a", "b"])
     return found.select("r", "start", (F.col("start") + length).alias("end"))
 
 
@@ -530,7 +537,7 @@ def coded(texts: DataFrame) -> DataFrame:
                     codes.append(np.fromiter(map(known.__getitem__, found), "<u8", len(found)).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary())], names=["r", "text"])
 
-    return texts.select("r", "text").mapInArrow(run, "r bigint, text binary")
+    return texts.select("r", "text").transform(map_batches, run, "r bigint, text binary")
 
 
 def word_spans(data: bytes, spans) -> list[dict[str, int]]:
@@ -562,7 +569,9 @@ def spans_of(texts: DataFrame, n_bytes: int, length: int, prefix: int, step: int
             yield pa.RecordBatch.from_arrays([pa.array(rs, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["r", "spans"])
 
     spans = spans.groupBy("r").agg(F.collect_list(F.struct("start", "end")).alias("x"))
-    return materialise(spans.mapInArrow(merge, f"r bigint, spans {_SPANS}"), "spans")
+    spans = materialise(spans.transform(map_batches, merge, f"r bigint, spans {_SPANS}"), "spans")
+    discard(found, lists, anchored)
+    return spans
 
 
 class Repeats:
@@ -583,22 +592,28 @@ class Repeats:
         groups = self.ids.groupBy("digest").agg(F.count(F.lit(1)).alias("m"), F.min(key).alias("rep"), F.max("n_bytes").alias("n_bytes"), F.max("long").alias("long")).where("m > 1")
         self.copies = materialise(groups, "copies")
         rest = self.ids.join(self.copies.select("digest", "rep"), "digest").where(F.col(key) > F.col("rep")).select(F.col(key).alias("k"), F.col("digest").alias("d")).distinct()
-        rest = materialise(rest, "further")
+        self.rest = rest = materialise(rest, "further")
         texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"), digest.alias("d")).where(F.octet_length("text") >= (min(length, 2 * words - 1) if words else length))
         n_rest = rest.count()
         if n_rest:
             texts = texts.join(small(rest, n_rest), ["k", "d"], "left_anti")
         self.texts = texts.select(text_ref(F.col("d")).alias("r"), "d", "text")
         total = self.ids.agg(F.sum("n_bytes")).first()[0] or 0
-        self.spans = spans_of(self.texts, total, length, prefix).withColumn("by_word", F.array().cast(_SPANS))
+        none = F.array().cast(_SPANS)
+        self.spans = spans_of(self.texts, total, length, prefix)
         if words:
             more = spans_of(coded(self.texts), total, words * CODE, PREFIX_WORDS * CODE, CODE)
-            both = self.spans.unionByName(more.select("r", F.array().cast(_SPANS).alias("spans"), F.col("spans").alias("by_word")))
-            self.spans = materialise(both.groupBy("r").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "by_word"))), "spans")
+            both = self.spans.withColumn("by_word", none).unionByName(more.select("r", none.alias("spans"), F.col("spans").alias("by_word")))
+            single, self.spans = self.spans, materialise(both.groupBy("r").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "by_word"))), "spans")
+            discard(single, more)
+
+    def discard(self) -> None:
+        discard(self.rest, self.spans)
 
     def affected(self) -> DataFrame:
         """``d, text, spans`` of texts with repeated strings, one of each group of copies among them."""
-        return self.texts.join(small(self.spans, self.spans.count()), "r").select("d", "text", "spans", "by_word")
+        spans = self.spans if "by_word" in self.spans.columns else self.spans.withColumn("by_word", F.array().cast(_SPANS))
+        return self.texts.join(small(spans, self.spans.count()), "r").select("d", "text", "spans", "by_word")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -615,10 +630,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, text: s
                     kept.append(hashlib.sha256(cut_out(utf8(t), spans)).hexdigest())
                 yield pa.RecordBatch.from_arrays([pa.array(ds), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept)], names=["digest", "n_removed", "n_spans", "kept_sha256"])
 
-    parts = found.affected().drop("by_word").mapInArrow(digest, "digest string, n_removed bigint, n_spans bigint, kept_sha256 string")
+    parts = found.affected().drop("by_word").transform(map_batches, digest, "digest string, n_removed bigint, n_spans bigint, kept_sha256 string")
     whole = found.copies.where("long").select("digest", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
     parts = parts.join(found.copies.select("digest"), "digest", "left_anti")
     verdict = materialise(parts.unionByName(whole), "verdicts")
+    found.discard()
     return found.ids.join(verdict, "digest", "left").select(
         F.col(key), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256")
     )
@@ -635,6 +651,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
     if words and words < PREFIX_WORDS:
         raise ValueError(f"runs of under {PREFIX_WORDS} words")
     found = Repeats(docs, length, prefix, text, key, words)
+    mark = uuid.uuid4().hex  # no column of docs has such a name
+    own, changed = f"digest_{mark}", f"text_{mark}"
 
     def cut(batches):
         for batch in batches:
@@ -643,17 +661,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
                 for d, t, s, w in zip(*(c.to_pylist() for c in part.columns)):
                     data = utf8(t)
                     ds.append(d), ts.append(cut_out(data, merged_spans(s + word_spans(data, w))).decode("utf-8", "ignore"))
-                yield pa.RecordBatch.from_arrays([pa.array(ds, pa.string()), pa.array(ts, pa.string())], names=["_digest", "_text"])
+                yield pa.RecordBatch.from_arrays([pa.array(ds, pa.string()), pa.array(ts, pa.string())], names=[own, changed])
 
-    parts = found.affected().mapInArrow(cut, "_digest string, _text string").join(found.copies.select(F.col("digest").alias("_digest")), "_digest", "left_anti")
-    whole = found.copies.where("long").select(F.col("digest").alias("_digest"), F.lit("").alias("_text"))
+    parts = found.affected().transform(map_batches, cut, f"{own} string, {changed} string").join(found.copies.select(F.col("digest").alias(own)), own, "left_anti")
+    whole = found.copies.where("long").select(F.col("digest").alias(own), F.lit("").alias(changed))
     new = materialise(parts.unionByName(whole), "texts")
+    found.discard()
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    joined = docs.withColumn("_digest", digest).join(small(new, new.count()), "_digest", "left")
-    values = {text: F.when(F.col("_digest").isNotNull() & F.col("_text").isNotNull(), F.col("_text")).otherwise(F.col(text))}
+    joined = docs.withColumn(own, digest).join(small(new, new.count()), own, "left")
+    values = {text: F.when(F.col(text).isNotNull() & F.col(changed).isNotNull(), F.col(changed)).otherwise(F.col(text))}
     if size in docs.columns:
-        values[size] = F.when(F.col("_text").isNotNull(), F.length("_text").cast(docs.schema[size].dataType)).otherwise(F.col(size))
-    return joined.select(*(values[c].alias(c) if c in values else F.col(c) for c in docs.columns))
+        values[size] = F.when(F.col(changed).isNotNull(), F.length(changed).cast(docs.schema[size].dataType)).otherwise(F.col(size))
+    return joined.select(*(values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_suffixes(spark, sf_dir: str) -> DataFrame:
