@@ -2,7 +2,7 @@
 
 A text is reduced to its words (lower-cased A-Z; bytes outside words become one
 space each run) with a space at either end; a window of test words becomes the
-pattern ``" w1 w2 ... "``. Patterns are put in classes by length. In each class
+pattern ``" w1 w2 ... "``, a slice of its item's text. Patterns are put in classes by length. In each class
 the last block of bytes of the search position selects a shift from a table;
 shift 0 selects, by the hash of that block, the bucket of patterns to compare
 directly. Many stretches of text, overlapping by the longest pattern, move
@@ -19,18 +19,18 @@ every document clean); other columns are ignored by :func:`search` and kept by
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, table, utf8
+from .common import discard, map_batches, map_rows, materialise, table, utf8
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass holds as patterns; more is searched in further passes.
-PASS_BYTES = 8 << 20
+PASS_BYTES = 4 << 20
 STRETCH = 4096
 _WORD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)
@@ -42,34 +42,62 @@ def words(data: bytes) -> list[bytes]:
     return data.translate(_WORD).split()
 
 
-def windows(item: list[bytes], window: int = WINDOW) -> list[bytes]:
-    return [b" " + b" ".join(item[i : i + window]) + b" " for i in range(max(1, len(item) - window + 1))] if item else []
+class Windows:
+    """The different windows of some items, as slices of one byte string."""
+
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
+        self.ids = [str(i) for i, _ in items]
+        texts, starts, ends, owners, at = [], [], [], [], 0
+        for k, (_, text) in enumerate(items):
+            found = words(utf8(text))
+            if not found:
+                continue
+            flat = b" " + b" ".join(found) + b" "
+            blanks = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32) + at
+            size = min(window, len(found))
+            starts.append(blanks[: len(blanks) - size])
+            ends.append(blanks[size:] + 1)
+            owners.append(np.full(len(starts[-1]), k))
+            texts.append(flat)
+            at += len(flat)
+        self.text = b"".join(texts)
+        join = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+        start, end, owner = join(starts), join(ends), join(owners)
+        # equal windows become one, owned by all their items
+        digest = b"".join(xxhash.xxh3_128_digest(self.text[a:b]) for a, b in zip(start.tolist(), end.tolist()))
+        keys = np.frombuffer(digest, np.dtype([("a", "<u8"), ("b", "<u8")]))
+        by = np.lexsort((owner, keys["b"], keys["a"]))
+        keys = keys[by]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(by) else by
+        self.start, self.length = start[by][first], (end - start)[by][first]
+        self.owner, self.owned = owner[by], np.r_[first, len(by)]
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def items(self, k: int) -> set[str]:
+        return {self.ids[i] for i in self.owner[self.owned[k] : self.owned[k + 1]].tolist()}
 
 
 class WuManber:
-    """Finds all occurrences of patterns in many texts."""
-
-    def __init__(self, patterns: list[bytes]):
-        self.classes = []
-        by_class: dict[int, list[int]] = defaultdict(list)
-        for k, p in enumerate(patterns):
-            by_class[min(len(p).bit_length(), 6)].append(k)
-        self.patterns = patterns
-        self.longest = max(map(len, patterns), default=0)
-        for ids in by_class.values():
-            least = min(len(patterns[k]) for k in ids)
+    """Finds all occurrences of windows in many texts; a window costs some tens of bytes besides its item's text."""
+
+    def __init__(self, windows: Windows):
+        self.windows, self.classes = windows, []
+        text = np.frombuffer(windows.text, np.uint8)
+        kind = np.minimum(np.frexp(windows.length)[1], 6)
+        for c in np.unique(kind).tolist():
+            ids = np.flatnonzero(kind == c)
+            least = int(windows.length[ids].min())
             block = min(least, 8)
-            rows = np.array([np.frombuffer(patterns[k][:least], np.uint8) for k in ids])
             bits = min(22, max(16, (len(ids) * least * 4).bit_length()))
             shift = np.full(1 << bits, least - block + 1, np.int32)
+            suffix = np.zeros(len(ids), np.int64)
             for end in range(block, least + 1):
-                h = self.hashed([rows[:, end - block + j] for j in range(block)], bits)
-                np.minimum.at(shift, h, least - end)
-            suffix = self.hashed([rows[:, least - block + j] for j in range(block)], bits)
-            buckets: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
-            for h, k in zip(suffix.tolist(), ids):
-                buckets[h].append((patterns[k], k))
-            self.classes.append((least, block, bits, shift, dict(buckets)))
+                suffix = self.hashed([text[windows.start[ids] + (end - block + j)] for j in range(block)], bits)
+                np.minimum.at(shift, suffix, least - end)
+            by = np.argsort(suffix, kind="stable")
+            self.classes.append((least, block, bits, shift, suffix[by], ids[by]))
 
     @staticmethod
     def hashed(columns, bits: int) -> np.ndarray:
@@ -80,10 +108,10 @@ class WuManber:
         return (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
     def find(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """``(text, byte, pattern)`` of every occurrence."""
-        if not self.patterns or not texts:
+        """``(text, byte, window)`` of every occurrence."""
+        if not len(self.windows) or not texts:
             return
-        flat_bytes = b"".join(texts)
+        flat_bytes, own = b"".join(texts), self.windows
         flat = np.frombuffer(flat_bytes, np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes)
@@ -91,7 +119,7 @@ class WuManber:
         count = -(-sizes // STRETCH)
         of = np.repeat(np.arange(len(texts)), count)
         first = starts[of] + STRETCH * (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
-        for least, block, bits, shift, buckets in self.classes:
+        for least, block, bits, shift, suffixes, ids in self.classes:
             at, text = first.copy(), of.copy()
             # a stretch owns the positions below `stop`; a match there may reach beyond it
             stop = np.minimum(first + STRETCH, ends[of] - least + 1)
@@ -104,10 +132,13 @@ class WuManber:
                 tail = at + (least - block)
                 h = self.hashed([flat[tail + j] for j in range(block)], bits)
                 step = shift[h]
-                for i in np.flatnonzero(step == 0).tolist():
-                    p = int(at[i])
-                    for pattern, k in buckets.get(int(h[i]), ()):
-                        if flat_bytes.startswith(pattern, p) and p + len(pattern) <= ends[text[i]]:
+                hit = np.flatnonzero(step == 0)
+                lo, hi = np.searchsorted(suffixes, h[hit]), np.searchsorted(suffixes, h[hit], "right")
+                for i, a, b in zip(hit.tolist(), lo.tolist(), hi.tolist()):
+                    p, end = int(at[i]), int(ends[text[i]])
+                    for k in ids[a:b].tolist():
+                        start, n = int(own.start[k]), int(own.length[k])
+                        if p + n <= end and flat_bytes[p : p + n] == own.text[start : start + n]:
                             yield int(text[i]), p - int(starts[text[i]]), k
                 at = at + np.maximum(step, 1)
 
@@ -116,13 +147,8 @@ class Matcher:
     """The windows of some items, searched in batches of documents."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        owners: dict[bytes, set[str]] = defaultdict(set)
-        for item_id, text in items:
-            for w in windows(words(utf8(text)), window):
-                owners[w].add(str(item_id))
-        self.owners = [sorted(o) for o in owners.values()]
-        self.search = WuManber(list(owners))
-        self.n_words = [p.count(b" ") - 1 for p in owners]
+        self.windows = Windows(items, window)
+        self.search = WuManber(self.windows)
 
     def run(self, texts: list[str | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
         """Word counts, hit word ranges and items found of each text."""
@@ -134,9 +160,9 @@ class Matcher:
         for t, byte, k in self.search.find(flat):
             if t not in blanks:
                 blanks[t] = np.flatnonzero(np.frombuffer(flat[t], np.uint8) == 32)
-            w = int(np.searchsorted(blanks[t], byte))
-            spans[t].append((w, w + self.n_words[k]))
-            items[t].update(self.owners[k])
+            a, b = np.searchsorted(blanks[t], [byte, byte + int(self.windows.length[k]) - 1]).tolist()
+            spans[t].append((a, b))
+            items[t] |= self.windows.items(k)
         return [len(w) for w in split], [merged(s) for s in spans], items
 
 
@@ -150,22 +176,22 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def passes(items: DataFrame, text: str, key: str) -> list[list[tuple[object, str | None]]]:
-    """The benchmark in blocks of at most PASS_BYTES (or one item) of text.
+def passes(items: DataFrame, text: str, key: str) -> Iterator[list[tuple[object, str | None]]]:
+    """The benchmark in blocks of at most PASS_BYTES (or one item) of text, at least one.
 
     Benchmarks are small beside documents, yet no size is assumed: rows stream
-    to the driver, and each block is one broadcast-sized set of patterns.
+    to the driver, which holds one block; each is one broadcast-sized set of windows.
     """
-    blocks: list[list[tuple[object, str | None]]] = [[]]
+    block: list[tuple[object, str | None]] = []
     held = 0
     for row in items.select(F.col(key).alias("k"), F.col(text).alias("t")).toLocalIterator():
-        size = len(row.t or "")
-        if blocks[-1] and held + size > PASS_BYTES:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row.k, row.t))
+        size = len(utf8(row.t))
+        if block and held + size > PASS_BYTES:
+            yield block
+            block, held = [], 0
+        block.append((row.k, row.t))
         held += size
-    return blocks
+    yield block
 
 
 def search(
@@ -175,20 +201,19 @@ def search(
 
     ``spans`` are merged ranges of hit words, ``items`` the ids (as sorted
     strings) whose windows occur. For several passes every row is written once with
-    a number of its own, by which its results are put together.
+    a number of its own, by which the written results of the passes are put together.
     """
     kind = docs.schema[key].dataType.simpleString()
     ddl = f"`{key}` {kind}, n_words bigint, spans array<struct<first:bigint,after:bigint>>, items array<string>"
     blocks = passes(benchmark, item_text, item)
     sc = docs.sparkSession.sparkContext
-    several = len(blocks) > 1
+    block, after = next(blocks), next(blocks, None)
+    several = after is not None
     rows = docs.select(key, text)
     if several:
         rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
-    def one(block) -> DataFrame:
-        sent = sc.broadcast(block)
-
+    def one(sent) -> DataFrame:
         def make():
             matcher = Matcher(sent.value, window)
 
@@ -200,11 +225,17 @@ def search(
 
         return map_rows(rows, make, "_row bigint, " + ddl if several else ddl)
 
-    found = one(blocks[0])
     if not several:
-        return found
-    for block in blocks[1:]:
-        found = found.unionByName(one(block))
+        return one(sc.broadcast(block))
+    found = None
+    while block is not None:
+        sent = sc.broadcast(block)
+        # a later pass has something to say of few rows
+        part = materialise(one(sent) if found is None else one(sent).where(F.size("spans") > 0), "pass")
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+        block, after = after, next(blocks, None)
+    discard(rows)
     parts = found.groupBy("_row").agg(
         F.first(key).alias(key), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     ).drop("_row")
@@ -246,7 +277,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                     _, spans, _ = matcher.run(part.column(part.schema.get_field_index(text)).to_pylist())
                     yield part.filter(pa.array([not s for s in spans], pa.bool_()))
 
-        kept = kept.mapInArrow(keep, kept.schema)
+        kept = kept.transform(map_batches, keep, kept.schema)
     return kept
 
 
