@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, slices, table
+from .common import map_batches, map_rows, materialise, slices, table
 from .sample import held_out, labelled
 
 SAMPLE = 12_000
@@ -70,7 +70,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
             part = every[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([p[t] for t in part], pa.int64()), pa.array([n[t] for t in part], pa.int64())], names=["term", "p", "n"])
 
-    parts = sample.select("text", "label").mapInArrow(run, "term string, p bigint, n bigint")
+    parts = sample.select("text", "label").transform(map_batches, run, "term string, p bigint, n bigint")
     return parts.groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
 
@@ -91,7 +91,7 @@ def document_counts(docs: DataFrame, terms: dict[str, int], text: str = "text")
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some], pa.int64()), pa.array(np.r_[rows, count[some]], pa.int64())], names=["term", "n"])
 
-    found = {r.term: r.n for r in docs.select(text).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    found = {r.term: r.n for r in docs.select(text).transform(map_batches, run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return found.get(-1, 0), np.array([found.get(i, 0) for i in range(len(terms))], np.int64)
 
 
@@ -234,30 +234,27 @@ class Model:
     def __init__(self, terms, idf, examples):
         self.terms, self.idf = terms, idf
         self.index = Index([e for e in examples if e[1]], len(terms))
-        hits: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
         rate = sum(e[3] == 1 for e in examples) / max(1, len(examples))
-        for key, ids, w, label in examples:
-            raw = self.index.vote(np.array(ids), np.array(w), (self.index.where[key], label))[0] if ids else -1.0
-            bin_ = hits[self.bin(raw)]
-            bin_[0] += label == 1
-            bin_[1] += 1
+        votes = [(self.index.vote(np.array(ids), np.array(w), (self.index.where[key], label))[0] if ids else -1.0, label == 1) for key, ids, w, label in examples]
+        hits: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+        for raw, toxic in votes:
+            for i, x in enumerate((toxic, 1, raw)):
+                hits[-1 if raw < 0 else min(self.BINS - 1, int(raw * self.BINS))][i] += x
         # rates rise with the vote: pool neighbours that do not
         pools: list[list[float]] = []
         for b in range(self.BINS):
-            y, n = hits[b]
-            pools.append([y + rate, n + 1.0, 1])
+            y, n, raw = hits[b]
+            pools.append([y + rate, n + 1.0, raw + (b + 0.5) / self.BINS])
             while len(pools) > 1 and pools[-2][0] / pools[-2][1] > pools[-1][0] / pools[-1][1]:
-                y, n, k = pools.pop()
-                pools[-1] = [pools[-1][0] + y, pools[-1][1] + n, pools[-1][2] + k]
-        self.rates = [p[0] / p[1] for p in pools for _ in range(int(p[2]))]
-        y, n = hits[-1]
+                last = pools.pop()
+                pools[-1] = [x + y for x, y in zip(pools[-1], last)]
+        # between the mean votes of two pools the rate goes up evenly
+        self.knots = [p[2] / p[1] for p in pools], [p[0] / p[1] for p in pools]
+        y, n, _ = hits[-1]
         self.none = (y + rate) / (n + 1)
         self.index.where = {}
         self.vectors = None
 
-    def bin(self, raw: float) -> int:
-        return -1 if raw < 0 else min(self.BINS - 1, int(raw * self.BINS))
-
     def score(self, text: str | None) -> tuple[float, list]:
         if self.vectors is None:
             self.vectors = Vectors(self.terms, self.idf)
@@ -270,7 +267,7 @@ class Model:
             if len(memory) > 20_000:
                 memory.clear()
             raw, keys = self.index.vote(ids, w)
-            memory[at] = (self.none if raw < 0 else self.rates[self.bin(raw)], keys)
+            memory[at] = (self.none if raw < 0 else float(np.interp(raw, *self.knots)), keys)
         return memory[at]
 
 
@@ -319,7 +316,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
                 texts = part.column(part.schema.get_field_index(text)).to_pylist()
                 yield part.filter(pa.array([sent.value.score(t)[0] < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.transform(map_batches, keep, docs.schema)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
