@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..columns import q
-from .files import VersionedTable, folder_name, written
+from .files import VersionedTable, folder_name, part_name, written
 
 ID = "__record_id"
 
 
 class RecordStore:
+    """Records that are queued (``flush=False``) are written once there are ``batch_size`` of them."""
+
     def __init__(self, spark: SparkSession, base_path: str, batch_size: int = 1000, max_depth: int = 10):
         self.spark, self.base_path, self.batch_size, self.max_depth = spark, base_path.rstrip("/"), batch_size, max_depth
         self.pending: dict[tuple, list[DataFrame]] = {}
@@ -40,7 +42,7 @@ class RecordStore:
             if schema_handling == "coerce":
                 df = df.select(*((F.col(q(f.name)) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in known.schema))
         self.pending.setdefault(path, []).append(df)
-        if flush:
+        if flush or sum(d.count() for d in self.pending[path]) >= self.batch_size:
             self.flush_path(path)
 
     def flush_path(self, path) -> None:
@@ -115,6 +117,10 @@ class RecordStore:
         self.pending.pop(tuple(path), None)
         return self.table(path).delete()
 
+    def tables(self) -> list[tuple[str, ...]]:
+        """The paths that hold records."""
+        return [tuple(map(part_name, p.split("/"))) for p in VersionedTable(self.spark, self.base_path).below()]
+
     def info(self, path) -> dict:
         df = self.table(path).read()
         return {"version": self.table(path).version, "rows": 0 if df is None else df.count(), "pending": len(self.pending.get(tuple(path), ())), "schema": None if df is None else df.schema.simpleString()}
