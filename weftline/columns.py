@@ -23,6 +23,7 @@ class Roles:
     tags: tuple[str, ...]
     packets: tuple[str, ...]
     system_tags: tuple[str, ...] = ()
+    meta: tuple[str, ...] = ()
 
     @property
     def sources(self) -> tuple[str, ...]:
@@ -30,7 +31,7 @@ class Roles:
 
     @property
     def columns(self) -> tuple[str, ...]:
-        return (*self.tags, *self.system_tags, *self.packets, *self.sources)
+        return (*self.tags, *self.system_tags, *self.packets, *self.sources, *self.meta)
 
     def renamed(self, names: dict[str, str]) -> "Roles":
         new = lambda cs: tuple(names.get(c, c) for c in cs)
