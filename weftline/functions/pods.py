@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import logging
 import re
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..columns import META, Roles, q, source_column
+from ..columns import CONTEXT, META, Roles, q, source_column
 from ..errors import InputValidationError
 from ..frame import TagFrame
 from ..plans.files import written
 from ..plans.tracking import no_tracking, record
-from .hashing import hash_object, row_hash
+from .hashing import content_of_paths, function_info, git_version, hash_object, row_hash
 from .typing import fits, function_types, spark_type, to_python, to_spark
 
 PACKET = META + "input_packet_hash"
@@ -28,16 +30,20 @@ ENGINE = META + "execution_engine"
 class FunctionPod:
     """The outputs of ``function`` replace the packet; tags are kept.
 
-    ``error_handling``: ``raise``, or ``ignore`` / ``warn`` to drop the row.
+    ``error_handling``: ``raise``, or ``ignore`` / ``warn`` to drop the row; with
+    ``warn`` each is logged by its worker and counted in ``dropped`` on the driver.
+    A path among the inputs is known by the content of its file. ``engine`` names
+    what computes the results; it is recorded with them.
     """
 
-    def __init__(self, function, output_keys=(), function_name=None, version="v0.0", label=None, input_schema=None, output_schema=None, active=True, error_handling="raise"):
+    def __init__(self, function, output_keys=(), function_name=None, version="v0.0", label=None, input_schema=None, output_schema=None, active=True, error_handling="raise", engine="spark"):
         if function.__name__ == "<lambda>" and not function_name:
             raise ValueError("a lambda has no name to be known by")
         self.function, self.name, self.version = function, function_name or function.__name__, version
         self.output_keys = [output_keys] if isinstance(output_keys, str) else list(output_keys)
         self.inputs, self.outputs = function_types(function, self.output_keys, input_schema, output_schema)
-        self.label, self.active, self.error_handling = label or self.name, active, error_handling
+        self.label, self.active, self.error_handling, self.engine = label or self.name, active, error_handling, engine
+        self.dropped = None
         found = re.search(r"\d+", version)
         self.major = int(found[0]) if found else 0
         self.output_type = T.StructType([T.StructField(k, spark_type(h)) for k, h in self.outputs.items()])
@@ -49,14 +55,16 @@ class FunctionPod:
 
     @property
     def tiers(self) -> dict[str, str]:
+        source = function_info(self.function)["source"] or self.name
         try:
-            source = inspect.getsource(self.function)
-        except OSError:
-            source = self.name
+            commit = git_version(inspect.getfile(self.function))
+        except TypeError:
+            commit = None
         return {
             "version": self.version,
             "signature": hash_object(self.function).to_hex(),
             "content": hashlib.sha256(source.encode()).hexdigest()[:20],
+            "git": commit or "",
         }
 
     def identity(self, lineage: str) -> str:
@@ -84,6 +92,9 @@ class FunctionPod:
         schema = T.StructType([packets.schema[k] for k in keep] + list(self.output_type))
         arrow = to_arrow_schema(schema)
         keep, names, label = list(keep), list(names), self.name
+        if handling == "warn" and self.dropped is None:
+            self.dropped = packets.sparkSession.sparkContext.accumulator(0)
+        dropped = self.dropped
 
         def run(batches):
             for batch in batches:
@@ -98,21 +109,28 @@ class FunctionPod:
                     except Exception:
                         if handling == "raise":
                             raise
+                        if handling == "warn":
+                            logging.getLogger("weftline").warning("%s failed for a packet", label, exc_info=True)
+                            dropped.add(1)
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
         return packets.select(*(q(c) for c in dict.fromkeys([*keep, *names]))).mapInArrow(run, schema)
 
     def record_id(self, packet_hash):
-        return F.concat(F.lit("sha256@"), F.substring(F.sha2(F.concat(packet_hash, F.lit(hash_object(list(self.reference)).to_hex()), F.lit("spark")).cast("binary"), 256), 1, 20))
+        return F.concat(F.lit("sha256@"), F.substring(F.sha2(F.concat(packet_hash, F.lit(hash_object(list(self.reference)).to_hex()), F.lit(self.engine)).cast("binary"), 256), 1, 20))
 
     def hashed(self, frame: TagFrame) -> TagFrame:
-        return frame.having(frame.df.withColumn(PACKET, row_hash(frame.df, frame.roles.packets)))
+        paths = {p: content_of_paths(F.col(q(p))["path"]) for p in frame.roles.packets if self.inputs.get(p) is Path}
+        return frame.having(frame.df.withColumn(PACKET, row_hash(frame.df, frame.roles.packets, 64, paths)))
+
+    def source(self, key: str):
+        """Where an output comes from: the pod, the record and the key."""
+        return F.concat_ws("::", F.lit(":".join(self.reference)), self.record_id(F.col(PACKET)), F.lit(key))
 
     def finish(self, frame: TagFrame, tagged: DataFrame) -> TagFrame:
         """Roles and provenance of outputs; ``tagged`` has PACKET and the output columns."""
-        where = ":".join(self.reference)
         roles = Roles(frame.roles.tags, tuple(self.output_keys), frame.roles.system_tags)
-        sources = [F.concat_ws("::", F.lit(where), self.record_id(F.col(PACKET)), F.lit(k)).alias(source_column(k)) for k in self.output_keys]
+        sources = [self.source(k).alias(source_column(k)) for k in self.output_keys]
         return TagFrame(tagged.select(*map(q, (*roles.tags, *roles.system_tags, *self.output_keys)), *sources), roles, frame.lineage)
 
     def results(self, frame: TagFrame) -> DataFrame:
@@ -134,6 +152,23 @@ class FunctionPod:
         return record(self, frames, out)
 
 
+class WrappedPod:
+    """Another pod under a label of its own; what isn't overridden here is the other's."""
+
+    def __init__(self, pod: FunctionPod, label: str | None = None):
+        self.pod, self.label = pod, label or pod.label
+
+    def __getattr__(self, name):
+        if name == "pod":
+            raise AttributeError(name)
+        return getattr(self.pod, name)
+
+    def __call__(self, *frames: TagFrame) -> TagFrame:
+        with no_tracking():
+            out = self.pod(*frames)
+        return record(self, frames, out)
+
+
 def function_pod(output_keys=(), function_name=None, version="v0.0", label=None, **options):
     return lambda f: FunctionPod(f, output_keys, function_name, version, label, **options)
 
@@ -141,7 +176,8 @@ def function_pod(output_keys=(), function_name=None, version="v0.0", label=None,
 class CachedPod:
     """A pod whose results are kept in a record store by packet hash.
 
-    Only packets without a result are computed; new results are written first and
+    A record has the packet's hash, the pod's tiers, outputs with their sources, the
+    context, the engine and the time. Only packets without a result are computed; new results are written first and
     read back, so what is recorded is what is returned. In ``development`` mode
     nothing is looked up or recorded. Of several results the latest counts.
     """
@@ -158,12 +194,12 @@ class CachedPod:
         return self.pod.identity(lineage)
 
     def stored(self) -> DataFrame | None:
-        found = self.store.all_records(self.path)
+        found = self.store.all_records(self.path, RECORD)
         if found is None:
             return None
         if self.match_tier:
             found = found.where(F.col(f"{META}pod_id_{self.match_tier}") == self.pod.tiers[self.match_tier])
-        w = Window.partitionBy(PACKET).orderBy(F.desc(WHEN))
+        w = Window.partitionBy(PACKET).orderBy(F.desc(WHEN), F.desc(RECORD))  # a record's id tells those of one moment apart
         return found.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").select(PACKET, *map(q, self.pod.output_keys))
 
     def missing(self, hashed: TagFrame) -> TagFrame:
@@ -179,7 +215,10 @@ class CachedPod:
             hashed = self.pod.hashed(frame)
             new = written(self.pod.results(self.missing(hashed)), "results")
             tiers = [F.lit(v).alias(f"{META}pod_id_{k}") for k, v in self.pod.tiers.items()]
-            rows = new.select(F.concat_ws("/", self.pod.record_id(F.col(PACKET)), *(F.lit(v) for v in self.pod.tiers.values())).alias(RECORD), "*", *tiers, F.lit("spark").alias(ENGINE), F.current_timestamp().alias(WHEN))
+            named = F.concat_ws("/", self.pod.record_id(F.col(PACKET)), *(F.lit(v) for v in self.pod.tiers.values()))
+            sources = [self.pod.source(k).alias(source_column(k)) for k in self.pod.output_keys]
+            rest = [F.lit(frame.context).cast("string").alias(CONTEXT), F.lit(self.pod.engine).alias(ENGINE), F.current_timestamp().alias(WHEN)]
+            rows = new.select(named.alias(RECORD), "*", *tiers, *sources, *rest)
             self.store.add_records(self.path, rows, RECORD)
             tags = hashed.df.select(*map(q, (*frame.roles.tags, *frame.roles.system_tags)), PACKET)
             out = self.pod.finish(frame, tags.join(self.stored(), PACKET))

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from enum import Enum
 
 from ..columns import META, q
 from ..frame import TagFrame
 from ..functions.hashing import row_hash
-from ..functions.pods import PACKET, CachedPod, FunctionPod
+from ..functions.pods import PACKET, CachedPod, FunctionPod, WrappedPod
 from .store import RecordStore
 from .tracking import GraphTracker, no_tracking
 
 
+class Mode(Enum):
+    """Whether results are looked up and recorded, or everything is computed anew."""
+
+    PRODUCTION = "production"
+    DEVELOPMENT = "development"
+
+
 class Node:
     def __init__(self, label, kernel, inputs, lineage):
         self.label, self.kernel, self.inputs, self.lineage = label, kernel, inputs, lineage
@@ -18,7 +26,11 @@ class Node:
 
     @property
     def is_pod(self) -> bool:
-        return isinstance(self.kernel, (FunctionPod, CachedPod))
+        return isinstance(self.kernel, (FunctionPod, CachedPod, WrappedPod))
+
+    @property
+    def pod(self) -> FunctionPod:
+        return self.kernel.pod if isinstance(self.kernel, (CachedPod, WrappedPod)) else self.kernel
 
 
 class Pipeline(GraphTracker):
@@ -48,9 +60,7 @@ class Pipeline(GraphTracker):
             self.nodes[label] = Node(label, call.kernel, call.inputs, call.output)
 
     def set_mode(self, mode: str) -> None:
-        if mode not in ("production", "development"):
-            raise ValueError(mode)
-        self.mode = mode
+        self.mode = Mode(mode).value
 
     def rename(self, old: str, new: str) -> None:
         if new in self.nodes:
@@ -71,17 +81,18 @@ class Pipeline(GraphTracker):
     def path(self, node: Node) -> tuple[str, ...]:
         return (self.name, node.label, node.lineage)
 
-    def run(self, *predicates, sources: dict[str, TagFrame] | None = None, record_kernels: bool = False, **constraints) -> None:
+    def run(self, *predicates, sources: dict[str, TagFrame] | None = None, record_kernels: bool = False, only: str | None = None, **constraints) -> None:
         """Run all nodes. ``sources`` replaces input frames by lineage (new data of
-        the same source); predicates restrict the inputs of pods before they compute."""
+        the same source); predicates restrict the inputs of pods (of the node labelled
+        ``only``, if given) before they compute."""
         frames = dict(self.frames) | (sources or {})
         with no_tracking():
             for node in self.nodes.values():
                 inputs = [frames[i] for i in node.inputs]
                 if node.is_pod:
-                    if predicates or constraints:
+                    if (predicates or constraints) and only in (None, node.label):
                         inputs = [f.filter(*predicates, **constraints) for f in inputs]
-                    pod = node.kernel.pod if isinstance(node.kernel, CachedPod) else node.kernel
+                    pod = node.pod
                     cached = CachedPod(pod, self.results_store, (self.name, "_results"), self.mode)
                     out = cached(*inputs)
                     if self.mode == "production" and pod.active:
@@ -90,7 +101,7 @@ class Pipeline(GraphTracker):
                     out = node.kernel(*inputs)
                     if record_kernels:
                         df = out.as_df(system_tags=True)
-                        self.store.add_records(self.path(node), df.select(row_hash(df, df.columns).alias("__row"), "*"), "__row")
+                        self.store.add_records(self.path(node), df.select(row_hash(df, df.columns, 64).alias("__row"), "*"), "__row")
                 node.frame = out.derived(node.lineage)
                 frames[node.lineage] = node.frame
             self.store.flush()
@@ -99,13 +110,13 @@ class Pipeline(GraphTracker):
         """Tags of every row with the hash of its packet: rows whose packet was known too."""
         hashed = pod.hashed(frame).df
         tags = (*frame.roles.tags, *frame.roles.system_tags)
-        rows = hashed.select(row_hash(hashed, (*tags, PACKET)).alias(META + "entry"), *map(q, tags), PACKET)
+        rows = hashed.select(row_hash(hashed, (*tags, PACKET), 64).alias(META + "entry"), *map(q, tags), PACKET)
         self.store.add_records(self.path(node), rows, META + "entry")
 
     def records(self, label: str):
         """All recorded rows of a pod node: tag records joined with results."""
         node = self.nodes[label]
-        pod = node.kernel.pod if isinstance(node.kernel, CachedPod) else node.kernel
+        pod = node.pod
         tags = self.store.all_records(self.path(node))
         results = CachedPod(pod, self.results_store, (self.name, "_results")).stored()
         if tags is None or results is None:

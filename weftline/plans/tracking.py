@@ -6,6 +6,8 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
 
+from ..errors import InputValidationError
+
 _trackers: ContextVar[tuple] = ContextVar("trackers", default=())
 
 
@@ -30,7 +32,10 @@ class GraphTracker:
     def record(self, kernel, inputs, output) -> None:
         if output.lineage in self.invocations or output.lineage in {f.lineage for f in inputs}:
             return
-        self.frames |= {f.lineage: f for f in inputs if f.lineage not in self.frames}
+        for f in inputs:
+            known = self.frames.setdefault(f.lineage, f)
+            if known is not f and f.lineage not in self.invocations and not known.df.sameSemantics(f.df):
+                raise InputValidationError(f"two different inputs are called {f.lineage}")
         self.invocations[output.lineage] = Invocation(kernel, tuple(f.lineage for f in inputs), output.lineage, kernel.label)
 
     def __enter__(self):
