@@ -11,6 +11,7 @@ from ..columns import Roles, q, source_column
 from ..errors import InputValidationError
 from ..frame import TagFrame, ordered_index
 from ..functions.hashing import hash_object
+from ..functions.typing import fits
 from ..plans.tracking import record
 
 
@@ -66,13 +67,15 @@ class Join(Operator):
             raise InputValidationError(f"tags on one side, packets on the other: {sorted(mixed)}")
         shared = [t for t in l.tags if t in r.tags]
         a, b = _types(left, shared), _types(right, shared)
-        if odd := [t for t in shared if a[t] != b[t]]:
+        if odd := [t for t in shared if a[t] != b[t] and not fits(a[t], b[t]) and not fits(b[t], a[t])]:
             raise InputValidationError(f"tags of different types: {odd}")
-        rdf = right.df
+        # integers (and floats) of different widths are one type: the wider one
+        wide = {t: F.col(q(t)).cast(b[t] if fits(a[t], b[t]) else a[t]) for t in shared if a[t] != b[t]}
+        ldf, rdf = (f.df.withColumns(wide) if wide else f.df for f in (left, right))
         twice = [c for c in r.system_tags if c in l.system_tags]
         new = {c: f"{c}:r" for c in twice}
         rdf = rdf.withColumnsRenamed(new)
-        df = left.df.join(rdf, shared, "inner") if shared else left.df.crossJoin(rdf)
+        df = ldf.join(rdf, shared, "inner") if shared else ldf.crossJoin(rdf)
         roles = Roles((*l.tags, *(t for t in r.tags if t not in shared)), (*l.packets, *r.packets), (*l.system_tags, *(new.get(c, c) for c in r.system_tags)))
         return TagFrame(df.select(*map(q, roles.columns)), roles, left.lineage)
 

@@ -39,11 +39,9 @@ class SourceRegistry:
     def __contains__(self, source_id: str) -> bool:
         return source_id in self._sources
 
-    def list_sources(self) -> list[str]:
-        return list(self._sources)
-
-    def list_by_type(self, kind: type) -> list[str]:
-        return [i for i, s in self._sources.items() if isinstance(s, kind)]
+    def list_sources(self, kind: type | None = None) -> list[str]:
+        """Ids in the order of registration, of one type if asked for."""
+        return [i for i, s in self._sources.items() if kind is None or isinstance(s, kind)]
 
     def info(self, source_id: str) -> dict:
         s = self._sources[source_id]
@@ -130,6 +128,11 @@ class DataFrameSource(Source):
         if missing := [t for t in self.tags if t not in data.columns and t not in getattr(data, "column_names", ())]:
             raise ValueError(f"no such columns: {missing}")
 
+    @property
+    def reference(self):
+        rows = self.data.semanticHash() if isinstance(self.data, DataFrame) else hash_object((self.data if isinstance(self.data, pa.Table) else pa.Table.from_pandas(self.data)).to_pydict(), str).to_hex()
+        return ("dataframe", self.source_name or "", self.tags, str(rows))
+
     def read(self):
         if isinstance(self.data, DataFrame):
             return self.data
@@ -143,6 +146,10 @@ class DictSource(Source):
         self.spark, self.rows, self.schema = spark, rows, schema
         super().__init__(tag_columns, **options)
 
+    @property
+    def reference(self):
+        return ("dict", self.source_name or "", self.tags, hash_object(self.rows, str).to_hex())
+
     def read(self):
         if self.schema is not None:
             return self.spark.createDataFrame(self.rows, self.schema)
@@ -159,10 +166,32 @@ class ListSource(Source):
         self.rows = [{**t, name: x} for t, x in zip(rows, data)]
         super().__init__(tuple(rows[0]) if rows else (), **options)
 
+    @property
+    def reference(self):
+        return ("list", self.source_name or "", self.tags, hash_object(self.rows, str).to_hex())
+
     def read(self):
         return self.spark.createDataFrame(normalised(pa.Table.from_pylist(self.rows)))
 
 
+class FrameSource(Source):
+    """A frame that comes from elsewhere, as a source: provenance stays as it is."""
+
+    def __init__(self, frame: TagFrame, **options):
+        self._frame = frame
+        super().__init__(frame.roles.tags, **options)
+
+    def read(self):
+        return self._frame.df
+
+    @property
+    def reference(self):
+        return ("frame", self._frame.lineage, self.tags)
+
+    def frame(self) -> TagFrame:
+        return self._frame
+
+
 class CSVSource(Source):
     def __init__(self, spark: SparkSession, path: str, tag_columns=(), schema=None, **options):
         self.spark, self.path, self.schema = spark, path, schema
@@ -218,10 +247,21 @@ class VersionedSource(Source):
     def reference(self):
         return ("versioned", self.table.path, self.tags)
 
-    def resolve_field(self, tags: dict, column: str):
-        """The value that a row's tags and a column name."""
+    @property
+    def modified(self) -> float | None:
+        """When the version that is read now was published, in seconds."""
+        return self.table.modified
+
+    def info(self) -> dict:
+        df = self.read()
+        return {"path": self.table.path, "version": self.version(), "modified": self.modified, "rows": df.count(), "schema": df.schema.simpleString(), "tags": self.tags}
+
+    def resolve_field(self, row: dict | int, column: str):
+        """The value that a row (its tags, or its number as in system tags) and a column name."""
         df = self.read()
-        for c, v in tags.items():
+        if isinstance(row, int):
+            df = ordered_index(df, self.tags, "__i").where(F.col("__i") == row)
+        for c, v in row.items() if isinstance(row, dict) else ():
             df = df.where(F.col(q(c)) == F.lit(v))
         row = df.select(q(column)).first()
         return None if row is None else row[0]
