@@ -8,10 +8,12 @@ import pytest
 
 from weftline import TagFrame
 from weftline.errors import DuplicateTagError, InputValidationError, SourceCollisionError
-from weftline.functions.hashing import ContentHash, combine_hashes, hash_object, table_hash
+from weftline.functions.hashing import CachedFileHasher, ContentHash, combine_hashes, file_hash, function_info, hash_object, path_hash, table_hash
+from weftline.functions.names import escaped, free_name, pascal_case, snake_case, unescaped
 from weftline.functions.pods import CachedPod, FunctionPod, function_pod
 from weftline.functions.typing import function_types, spark_type
 from weftline.operators import Batch, MapTags
+from weftline.plans.files import ConcurrentWriteError, VersionedTable
 from weftline.plans.pipeline import Pipeline
 from weftline.plans.store import RecordStore
 from weftline.sources import DataFrameSource, ManualTableSource, SourceRegistry, VersionedSource
@@ -75,6 +77,8 @@ def test_pods(spark):
     assert [(r.id, r.sum) for r in out.as_df(sort_by_tags=True).collect()] == [(i, 10 + i % 2) for i in range(6)]
     assert out.as_df(source=True).select("_source_sum").distinct().count() == 2
     assert FunctionPod(wrong, ["x", "y"], error_handling="ignore")(f).as_df().count() == 0
+    warned = FunctionPod(wrong, ["x", "y"], error_handling="warn")
+    assert warned(f).as_df().count() == 0 and warned.dropped.value == 2  # different packets
     with pytest.raises(Exception, match="returned 1 values"):
         FunctionPod(wrong, ["x", "y"])(f).as_df().collect()
     with pytest.raises(InputValidationError):
@@ -83,6 +87,68 @@ def test_pods(spark):
         function_pod("x")(lambda a: a)
 
 
+def test_records(spark):
+    f = frame(spark, [(1, "a", 2)], "k long, v string, n long", "k").with_meta(seen=True).with_context("c")
+    (r,) = f.iter_records()
+    assert dict(r) == {"k": 1, "v": "a", "n": 2} and r.get_meta("seen") is True and r.context == "c"
+    assert r.rename({"v": "w"}).with_source_info(w="s", x="t").sources == {"w": "s", "n": None}
+    assert r.update(v="b")["v"] == "b" and r["v"] == "a" and r.copy() == r and hash(r.copy()) == hash(r)
+    assert r.as_dict(sources=True, meta=True, context="at") == {"k": 1, "v": "a", "n": 2, "_source_v": None, "_source_n": None, "__seen": True, "at": "c"}
+    assert r.as_table().num_rows == 1 and r.types() == {"k": int, "v": str, "n": int}
+    for call, error in ((lambda: r.select("x"), ValueError), (lambda: r.drop("x"), KeyError), (lambda: r.update(x=1), KeyError), (lambda: r.with_columns(v=1), ValueError), (lambda: r.drop_meta("x"), KeyError), (lambda: r.rename({"v": "n"}), ValueError)):
+        with pytest.raises(error):
+            call()
+    assert "v" not in r.drop("v", "x", ignore_missing=True)
+    for call, error in ((lambda: f.update(x=1), KeyError), (lambda: f.with_columns(v=1), ValueError), (lambda: f.drop_meta("x"), KeyError)):
+        with pytest.raises(error):
+            call()
+    assert "*k" in f._repr_html_()
+
+
+def test_versions(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    assert t.read() is None and t.version == 0 and t.modified is None
+    df = spark.range(3)
+    assert [t.append(df), t.append(df)] == [1, 2] and t.read().count() == 6
+    (tmp_path / "t" / "manifest-000000000003.json").write_text('{"version": 3, "fol')  # a writer that died in publishing
+    assert t.version == 2 and t.read().count() == 6
+    assert t.compact() == 4 and t.read().count() == 6
+    stale = t._state()
+    t.append(df)
+    with pytest.raises(ConcurrentWriteError):
+        t._publish(stale["next"], [])
+    assert t.read().count() == 9
+
+
+def test_file_hashes(tmp_path):
+    f = tmp_path / "d" / "x"
+    f.parent.mkdir()
+    f.write_text("one")
+    hasher = CachedFileHasher(size=1, store=str(tmp_path / "hashes"))
+    first = hasher(str(f))
+    assert first == file_hash(str(f)) == CachedFileHasher(store=str(tmp_path / "hashes"))(str(f))
+    folder = path_hash(str(f.parent))
+    f.write_text("other")
+    assert hasher(str(f)) == file_hash(str(f)) != first and path_hash(str(f.parent)) != folder
+    assert file_hash(str(f), "crc32").digest != file_hash(str(f), "xxh64").digest != file_hash(str(f), "path").digest
+    hasher.clear()
+    assert function_info(add)["signature"] == "(a: int, b: int) -> int"
+
+
+def test_names():
+    assert free_name("a", ["a", "a_1"]) == "a_2" and free_name("b", ["a"]) == "b"
+    assert snake_case("HTTPServerName") == "http_server_name" and pascal_case("a_pod_name") == "APodName"
+    assert unescaped(escaped("a_b") + "_post") == ("a_b", "post") and unescaped(escaped("a_b")) == ("a_b", None)
+
+
+def test_inputs_of_one_name(spark, tmp_path):
+    a, b = (TagFrame.of(spark.createDataFrame([(i, i)], "id long, a long"), "id", lineage="same") for i in (1, 2))
+    with pytest.raises(InputValidationError), Pipeline("p", RecordStore(spark, str(tmp_path))):
+        FunctionPod(add, "sum", input_schema={"a": int, "b": int})
+        MapTags({"id": "x"})(a)
+        MapTags({"id": "y"})(b)
+
+
 def test_typing():
     def two(data: str) -> tuple[int, str]: ...
     def none(x: int) -> None: ...

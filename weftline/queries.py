@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import pathlib
 import uuid
 
 from pyspark.sql import functions as F
 
+from .columns import META
 from .frame import TagFrame
-from .functions.pods import CachedPod, FunctionPod
-from .operators import Batch, Join, MapPackets, MapTags, SelectTagColumns
-from .plans.files import shared_folder
+from .functions.hashing import combine_hashes, file_hashes, hash_object, table_hash
+from .functions.names import snake_case
+from .functions.pods import ENGINE, CachedPod, FunctionPod, WrappedPod
+from .operators import Batch, Filter, Join, MapPackets, MapTags, SelectTagColumns
+from .plans.files import VersionedTable, shared_folder
 from .plans.pipeline import Pipeline
-from .plans.store import RecordStore
-from .sources import DataFrameSource, DictSource, ListSource, ManualTableSource, ParquetSource
+from .plans.store import ID, ReadThroughStore, RecordStore
+from .sources import CSVSource, DataFrameSource, DictSource, FrameSource, GlobSource, ListSource, ManualTableSource, ParquetSource, SourceRegistry, VersionedSource
+from .streaming.live import LiveFrame, stream_pod
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -373,3 +378,382 @@ def node_records(s, d):
     return p.records("lambda_free_price").select("orderkey", "cents")
 
 
+# --- sources, stores and streams over folders of their own
+
+
+def folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/weftline/{name}-{uuid.uuid4().hex}"
+
+
+def nation(s, d, *columns):
+    return s.read.parquet(f"{d}/nation.parquet").select(*(columns or ("n_nationkey", "n_name", "n_regionkey")))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def source_csv(s, d):
+    path = folder(s, "csv")
+    nation(s, d, "n_nationkey", "n_name").write.option("header", True).csv(path)
+    return CSVSource(s, path, "n_nationkey", schema=nation(s, d, "n_nationkey", "n_name").schema, registry=None).frame().as_df()
+
+
+@query("SELECT r_name FROM region")
+def source_glob(s, d):
+    path = folder(s, "glob")
+    s.read.parquet(f"{d}/region.parquet").select("r_name").coalesce(1).write.text(path)
+    found = GlobSource(s, path + "/part-*", registry=None).frame().as_df()
+    return found.select(F.explode(F.split(F.regexp_replace(F.col("content").cast("string"), r"\n+$", ""), r"\n")).alias("r_name"))
+
+
+@query("SELECT n_nationkey, n_name, 2 AS version FROM nation")
+def source_versioned(s, d):
+    path, df = folder(s, "versioned"), nation(s, d, "n_nationkey", "n_name")
+    made = VersionedTable(s, path)
+    made.append(df.where("n_nationkey < 10"))
+    made.append(df.where("n_nationkey >= 10"))
+    source = VersionedSource(s, path, "n_nationkey", registry=None)
+    return source.frame().as_df().withColumn("version", F.lit(source.version()))
+
+
+@query("SELECT 1 AS after, true AS newer, (SELECT n_name FROM nation WHERE n_nationkey = 6) AS by_tags, n_name AS by_row FROM nation WHERE n_nationkey = 7")
+def source_fields(s, d):
+    df = nation(s, d, "n_nationkey", "n_name")
+    source = ManualTableSource(s, folder(s, "manual"), df.schema, "n_nationkey", registry=None)
+    first = source.modified
+    source.insert(df)
+    row = (source.info()["version"] - 1, source.modified >= first, source.resolve_field({"n_nationkey": 6}, "n_name"), source.resolve_field(7, "n_name"))
+    return s.createDataFrame([row], "after int, newer boolean, by_tags string, by_row string")
+
+
+@query("SELECT 'a' AS id, 'DictSource' AS kind UNION ALL SELECT 'b', 'ListSource'")
+def source_registry(s, d):
+    known = SourceRegistry()
+    DictSource(s, [{"k": 1, "v": 2}], "k", source_name="a", registry=known)
+    ListSource(s, "x", [1, 2], source_name="b", registry=known)
+    return s.createDataFrame([(i, known.info(i)["type"]) for i in known.list_sources()], "id string, kind string")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def source_frame(s, d):
+    f = t(s, d, "nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"]).filter("n_regionkey = 1").select_packets("n_name")
+    return FrameSource(f, registry=None).frame().as_df()
+
+
+@query(
+    "SELECT v.k, CASE WHEN o.o_orderkey IS NULL THEN NULL ELSE v.id END AS id, o.o_orderkey FROM (VALUES (0, '8'), (1, 'none'), (2, '1'), (3, '8')) v(k, id) "
+    f"LEFT JOIN ({_STORED}) o ON o.id = v.id"
+)
+def store_preserve_order(s, d):
+    found = stored(s, d).records_by_ids(("orders",), ["8", "none", "1", "8"], "id", preserve_order=True)
+    rows = [(i, r.id if r.o_orderkey is not None else None, r.o_orderkey) for i, r in enumerate(found.collect())]
+    return s.createDataFrame(rows, "k int, id string, o_orderkey long")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_nationkey < 5 THEN lower(n_name) ELSE n_name END AS n_name FROM nation")
+def store_overwrite(s, d):
+    st, df = store(s), nation(s, d).selectExpr("CAST(n_nationkey AS STRING) AS id", "n_name")
+    st.add_records(("n",), df, "id")
+    st.overwrite_records(("n",), df.where("CAST(id AS INT) < 5").withColumn("n_name", F.lower("n_name")), "id")
+    return st.all_records(("n",), "id")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name FROM nation WHERE n_nationkey <> 3")
+def store_delete(s, d):
+    st = store(s)
+    st.add_records(("n",), nation(s, d).selectExpr("CAST(n_nationkey AS STRING) AS id", "n_name"), "id")
+    st.delete_record(("n",), "3")
+    return st.all_records(("n",), "id")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name, CASE WHEN n_nationkey < 10 THEN n_regionkey END AS n_regionkey FROM nation")
+def store_coerce(s, d):
+    st, df = store(s), nation(s, d).selectExpr("CAST(n_nationkey AS STRING) AS id", "n_name", "n_regionkey", "n_nationkey AS k")
+    st.add_records(("n",), df.where("k < 10").drop("k"), "id")
+    st.add_records(("n",), df.where("k >= 10").drop("k", "n_regionkey"), "id", schema_handling="coerce")
+    return st.all_records(("n",), "id")
+
+
+@query("SELECT 'a/b c' AS path, 20 AS n UNION ALL SELECT 'x_y/z', 5")
+def store_tables(s, d):
+    st, df = RecordStore(s, folder(s, "store"), batch_size=20), nation(s, d).selectExpr("CAST(n_nationkey AS STRING) AS id", "n_name", "n_nationkey AS k")
+    st.add_records(("x_y", "z"), df.where("k < 5").drop("k"), "id")
+    st.add_records(("a", "b c"), df.where("k < 10").drop("k"), "id", flush=False)
+    st.add_records(("a", "b c"), df.where("k >= 10 AND k < 20").drop("k"), "id", flush=False)  # 20 are waiting: written
+    return s.createDataFrame([("/".join(p), st.table(p).read().count()) for p in st.tables()], "path string, n int")
+
+
+@query("SELECT n_name, true AS kept FROM nation WHERE n_nationkey = 4")
+def store_read_through(s, d):
+    near, far = store(s), store(s)
+    far.add_records(("n",), nation(s, d).selectExpr("CAST(n_nationkey AS STRING) AS id", "n_name"), "id")
+    found = ReadThroughStore(near, far).record_by_id(("n",), "4")
+    return found.withColumn("kept", F.lit(near.all_records(("n",), ID).count() == 1))
+
+
+# --- orders of rows, filters, joins of widths
+
+
+@query("SELECT o_orderkey AS orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders ORDER BY 1")
+def pod_sorted(s, d):
+    return FunctionPod(lambda_free_price, "cents")(orders(s, d).select_packets("o_totalprice")).as_df(sort_by_tags=True)
+
+
+@query("SELECT o_orderkey AS orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'")
+def filter_list(s, d):
+    return Filter([[F.col("o_totalprice") > 100000, F.col("o_orderstatus") == "F"], True])(orders(s, d)).select_packets("o_totalprice").as_df()
+
+
+@query("SELECT r_regionkey, r_name FROM region WHERE false")
+def filter_false(s, d):
+    return t(s, d, "region", "r_regionkey", ["r_regionkey", "r_name"]).filter(False).as_df()
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey < 7")
+def join_int_long(s, d):
+    a = TagFrame.of(nation(s, d, "n_nationkey", "n_name").withColumn("n_nationkey", F.col("n_nationkey").cast("int")), "n_nationkey")
+    b = TagFrame.of(nation(s, d, "n_nationkey", "n_regionkey").where("n_nationkey < 7").withColumn("n_nationkey", F.col("n_nationkey").cast("long")), "n_nationkey")
+    return a.join(b).as_df().withColumn("n_nationkey", F.col("n_nationkey").cast(nation(s, d).schema["n_nationkey"].dataType))
+
+
+# --- values of rows
+
+
+def nations(s, d):
+    return t(s, d, "nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"])
+
+
+@query("SELECT n_nationkey, lower(n_name) AS n_name, 9 AS n_regionkey FROM nation")
+def row_update(s, d):
+    return nations(s, d).update(n_name=F.lower("n_name"), n_regionkey=9).as_df()
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, length(n_name) AS size, 'x' AS mark, CAST(NULL AS VARCHAR) AS _source_mark FROM nation")
+def row_with_columns(s, d):
+    out = nations(s, d).with_columns({"size": "bigint"}, size=F.length("n_name"), mark="x")
+    return out.as_df(source=True).drop("_source_n_name", "_source_n_regionkey", "_source_size")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey * 2 AS __twice FROM nation WHERE n_regionkey * 2 > 4")
+def row_meta(s, d):
+    f = nations(s, d).with_meta(twice=F.col("n_regionkey") * 2, gone=1).drop_meta("gone").select_packets("n_name")
+    return f.filter(f.meta("twice") > 4).as_df(meta=True)
+
+
+@query("SELECT n_nationkey, n_name, 'here' AS _source_n_name, 'night' AS _context_key FROM nation")
+def row_source_and_context(s, d):
+    f = nations(s, d).select_packets("n_name").with_source_info(n_name="here", absent="no").with_context("night")
+    return f.as_df(source=True, context=True)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name AS name, length(n_name) AS size, 'new' AS mark FROM nation WHERE n_regionkey = 2")
+def row_records(s, d):
+    rows = []
+    for r in nations(s, d).filter("n_regionkey = 2").iter_records():
+        r = r.rename({"n_name": "name"}).update(n_regionkey=len(r["n_name"])).rename({"n_regionkey": "size"}).with_columns(mark="new")
+        rows.append(r.with_meta(seen=1).drop_meta("seen").select("n_nationkey", "name", "size", "mark").as_dict())
+    return s.createDataFrame(rows, "n_nationkey long, name string, size long, mark string")
+
+
+@query("SELECT 5 AS n, 5 AS hashes, true AS same, true AS meta_left_out")
+def row_content_hash(s, d):
+    rows = list(nations(s, d).filter("n_nationkey < 5").iter_records())
+    hashes = {r.content_hash().to_string() for r in rows}
+    again = {r.copy().content_hash().to_string() for r in rows}
+    other = {r.with_meta(x=1).with_context("c").content_hash().to_string() for r in rows}
+    return s.createDataFrame([(len(rows), len(hashes), hashes == again, hashes == other)], "n int, hashes int, same boolean, meta_left_out boolean")
+
+
+# --- hashes and names
+
+
+@query("SELECT true AS any_order, false AS fewer_rows")
+def table_hashes(s, d):
+    df = nation(s, d)
+    return s.createDataFrame([(table_hash(df) == table_hash(df.orderBy(F.desc("n_name")).select("n_regionkey", "n_name", "n_nationkey")), table_hash(df) == table_hash(df.limit(24)))], "any_order boolean, fewer_rows boolean")
+
+
+@query("SELECT 'sha256@' || sha256(string_agg(r_name, chr(10) ORDER BY r_name) || chr(10)) AS hash FROM region")
+def file_content_hash(s, d):
+    path = folder(s, "text")
+    s.read.parquet(f"{d}/region.parquet").select("r_name").coalesce(1).sortWithinPartitions("r_name").write.text(path)
+    return file_hashes(s, path + "/part-*").select("hash")
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, substr(sha256(CAST(r_regionkey AS VARCHAR)), 1, 20) AS own, substr(sha256('a' || CAST(r_regionkey AS VARCHAR)), 1, 20) AS both FROM region")
+def object_hashes(s, d):
+    keys = [r[0] for r in s.read.parquet(f"{d}/region.parquet").select("r_regionkey").collect()]
+    return s.createDataFrame([(k, hash_object(k).to_hex(), combine_hashes(str(k), "a", order=False) if k is None else combine_hashes("a", str(k))) for k in keys], "r_regionkey long, own string, both string")
+
+
+@query("SELECT lower(n_name) AS name FROM nation WHERE n_name NOT LIKE '% %'")
+def snake_names(s, d):
+    return s.createDataFrame([(snake_case(r[0].title()),) for r in nation(s, d, "n_name").where("n_name NOT LIKE '% %'").collect()], "name string")
+
+
+# --- pods
+
+
+def raised(o_totalprice: float, by: int = 2) -> float:
+    return o_totalprice * by
+
+
+def optional(n_name: str, n_regionkey: int | None) -> str | None:
+    return None if n_regionkey is None else f"{n_name}:{n_regionkey}"
+
+
+def size_of(path: pathlib.Path) -> int:
+    return len(path.read_bytes())
+
+
+def odd_only(n_regionkey: int) -> int:
+    if n_regionkey % 2 == 0:
+        raise ValueError(n_regionkey)
+    return n_regionkey
+
+
+def doubled(x: int) -> int:
+    return 2 * x
+
+
+def untyped(n_regionkey, n_name) -> None:
+    return n_regionkey, n_name.lower()
+
+
+@query("SELECT o_orderkey AS orderkey, o_totalprice * 2 AS raised FROM orders")
+def pod_default_argument(s, d):
+    return FunctionPod(raised, "raised")(orders(s, d).select_packets("o_totalprice")).as_df()
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey <> 2 THEN n_name || ':' || n_regionkey END AS text FROM nation")
+def pod_optional(s, d):
+    df = nation(s, d).withColumn("n_regionkey", F.expr("nullif(n_regionkey, 2)"))
+    return FunctionPod(optional, "text")(TagFrame.of(df, "n_nationkey")).as_df()
+
+
+@query("SELECT n_nationkey, CAST(n_regionkey AS BIGINT) AS region, lower(n_name) AS name FROM nation")
+def pod_given_types(s, d):
+    pod = FunctionPod(untyped, ["region", "name"], input_schema={"n_regionkey": int, "n_name": str}, output_schema=[int, str])
+    return pod(nations(s, d)).as_df()
+
+
+@query("SELECT n_nationkey, CAST(n_regionkey AS BIGINT) AS odd FROM nation WHERE n_regionkey % 2 = 1")
+def pod_warn(s, d):
+    return FunctionPod(odd_only, "odd", error_handling="warn")(nations(s, d).select_packets("n_regionkey")).as_df()
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_totalprice) AS records FROM orders")
+def pod_provenance(s, d):
+    out = FunctionPod(lambda_free_price, "cents")(orders(s, d).select_packets("o_totalprice")).as_df(source=True)
+    parts = F.split("_source_cents", "::")
+    named = out.select(parts[0].alias("pod"), parts[1].alias("record"), parts[2].alias("output")).where("pod LIKE 'lambda_free_price:%:v0' AND output = 'cents'")
+    return named.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("record").alias("records"))
+
+
+@query("SELECT n_nationkey, CAST(n_regionkey AS BIGINT) AS odd, 'renamed' AS label FROM nation WHERE n_regionkey % 2 = 1")
+def pod_wrapped(s, d):
+    pod = WrappedPod(FunctionPod(odd_only, "odd", error_handling="ignore"), "renamed")
+    p, f = Pipeline("wrapped", store(s)), nations(s, d).select_packets("n_regionkey")
+    with p:
+        pod(f)
+    p.run()
+    (label,) = p.nodes
+    return p.renamed.frame.as_df().withColumn("label", F.lit(label))
+
+
+@query("SELECT count(DISTINCT o_totalprice) AS n, 'box' AS engine, 'night' AS context, true AS tiers FROM orders")
+def memo_record_layout(s, d):
+    st = store(s)
+    pod = CachedPod(FunctionPod(lambda_free_price, "cents", engine="box"), st)
+    pod(orders(s, d).select_packets("o_totalprice").with_context("night"))
+    rows = st.all_records(pod.path, META + "packet_id")
+    tiers = all(f"{META}pod_id_{k}" in rows.columns for k in ("version", "signature", "content", "git"))
+    return rows.where("_source_cents IS NOT NULL").groupBy(F.col(ENGINE).alias("engine"), F.col("_context_key").alias("context")).agg(F.count(F.lit(1)).alias("n")).withColumn("tiers", F.lit(tiers))
+
+
+@query("SELECT 0 AS of_other_version, count(DISTINCT o_totalprice) AS of_this FROM orders")
+def memo_match_tier(s, d):
+    st, f = store(s), orders(s, d).select_packets("o_totalprice")
+    CachedPod(FunctionPod(lambda_free_price, "cents", version="v0.1"), st)(f)
+    n = [CachedPod(FunctionPod(lambda_free_price, "cents", version=v), st, match_tier="version").stored().count() for v in ("v0.2", "v0.1")]
+    return s.createDataFrame([tuple(n)], "of_other_version int, of_this long")
+
+
+@query("SELECT 1 AS at, CAST(3 AS BIGINT) AS size UNION ALL SELECT 2, 5")
+def memo_path_content(s, d):
+    """The file behind a path changes: its result is computed anew."""
+    path, sizes = folder(s, "file").removeprefix("file:"), []
+    pod = CachedPod(FunctionPod(size_of, "size"), store(s))
+    for at, text in ((1, "abc"), (2, "abcde")):
+        pathlib.Path(path).parent.mkdir(parents=True, exist_ok=True)
+        pathlib.Path(path).write_text(text)
+        f = TagFrame.of(s.createDataFrame([(1, (path,))], "k int, path struct<path:string>"), "k")
+        sizes.append((at, pod(f).as_df().first()["size"]))
+    return s.createDataFrame(sizes, "at int, size long")
+
+
+# --- graphs, live frames, streams
+
+
+@query("SELECT n_nationkey, CAST(2 * n_regionkey AS BIGINT) AS y, CASE WHEN n_nationkey < 10 THEN 'doubled_1' ELSE 'doubled_2' END AS label FROM nation")
+def node_same_schema(s, d):
+    """Two unnamed inputs of one schema are two inputs."""
+    df = nation(s, d).selectExpr("n_nationkey", "n_regionkey AS x")
+    p = Pipeline("same", store(s))
+    with p:
+        pod = FunctionPod(doubled, "y")
+        pod(TagFrame.of(df.where("n_nationkey < 10"), "n_nationkey"))
+        pod(TagFrame.of(df.where("n_nationkey >= 10"), "n_nationkey"))
+    p.run()
+    a, b = (n.frame.as_df().withColumn("label", F.lit(label)) for label, n in p.nodes.items())
+    return a.unionByName(b)
+
+
+@query("SELECT n_nationkey, CAST(2 * n_regionkey AS BIGINT) AS y FROM nation WHERE n_nationkey < 12")
+def node_run_filtered(s, d):
+    p = Pipeline("filtered", store(s))
+    with p:
+        FunctionPod(doubled, "y")(nations(s, d).select_packets("n_regionkey").map_packets({"n_regionkey": "x"}))
+    p.run("n_nationkey < 12", only="doubled")
+    return p.records("doubled").select("n_nationkey", "y")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 3")
+def kernel_records(s, d):
+    st = store(s)
+    p = Pipeline("kernels", st)
+    with p:
+        nations(s, d).filter("n_regionkey = 3").select_packets("n_name")
+    p.run(record_kernels=True)
+    return st.all_records(p.path(p.SelectPacketColumns)).select("n_nationkey", "n_name")
+
+
+@query("SELECT 'Filter' AS label, 0 AS pod, 1 AS inputs UNION ALL SELECT 'twice', 1, 1 UNION ALL SELECT 'MapPackets', 0, 1")
+def graph_nodes(s, d):
+    p = Pipeline("graph", store(s))
+    with p:
+        FunctionPod(doubled, "y")(nations(s, d).filter("n_regionkey = 3").map_packets({"n_regionkey": "x"}))
+    p.rename("doubled", "twice")
+    return s.createDataFrame([(label, int(n.is_pod), len(n.inputs)) for label, n in p.nodes.items() if f'"{label}"' in p.to_dot()], "label string, pod int, inputs int")
+
+
+@query("SELECT 10 AS before, true AS stale, 25 AS after, true AS rebuilt")
+def live_frame(s, d):
+    df = nation(s, d, "n_nationkey", "n_name")
+    source = ManualTableSource(s, folder(s, "manual"), df.schema, "n_nationkey", registry=None)
+    source.insert(df.where("n_nationkey < 10"))
+    near = LiveFrame(lambda f: f.filter("n_nationkey >= 0"), source)
+    far = LiveFrame(lambda f: f.map_packets({"n_name": "name"}), near)
+    before = far.frame.as_df().count()
+    source.insert(df, skip_duplicates=True)
+    stale = not far.is_current and not near.is_current
+    return s.createDataFrame([(before, stale, far.frame.as_df().count(), far.is_current)], "before int, stale boolean, after int, rebuilt boolean")
+
+
+@query("SELECT CAST(n_nationkey % 5 AS BIGINT) AS x, CAST(2 * (n_nationkey % 5) AS BIGINT) AS y FROM nation GROUP BY 1, 2")
+def stream_memo(s, d):
+    """A remembering pod over micro-batches: equal packets of any batch are computed once."""
+    path, pod = folder(s, "stream"), CachedPod(FunctionPod(doubled, "y"), store(s))
+    df = nation(s, d).selectExpr("n_nationkey", "n_nationkey % 5 AS x")
+    df.repartition(3).write.parquet(path)
+    stream = s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream_pod(stream, "n_nationkey", pod, folder(s, "progress")).awaitTermination()
+    return pod.stored().select((F.col("y") / 2).cast("long").alias("x"), "y")
