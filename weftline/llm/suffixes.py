@@ -61,10 +61,15 @@ BUCKET_ROWS, PACKED = 150_000, 150_000
 RUN_BYTES = 8 << 20
 #: Positions of a text looked at together for their anchors.
 POSITIONS = 1 << 24
+#: Strings with a hot anchor that a task compares at a time.
+HELD = 400_000
 #: Rows up to which a side is broadcast; beyond it joins shuffle.
 SMALL = 300_000
 
 _ANCHOR = np.dtype([("c", "<u8"), ("r", "<i8"), ("p", "<i4"), ("n", "<i4")])
+#: A string of ``length`` bytes by its hashes, and where it starts; or (``end`` not 0) a span; or (``start`` NOTE) a summary.
+_STRING = np.dtype([("a", "<u8"), ("b", "<u8"), ("r", "<i8"), ("start", "<i4"), ("end", "<i4")])
+NOTE = -1
 _rng = np.random.default_rng(20240229)
 _BYTES = [_rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
 _word = re.compile(rb"[^ \t-\r]+")
@@ -427,8 +432,15 @@ def hot_strings(data: bytes, hot: list[int], length: int, prefix: int, step: int
     return at, *(hashes(prefix_sums(flat, w), at, length, w) for w in (0, 1))
 
 
-def counted_repeats(anchored: DataFrame, length: int, prefix: int, step: int = 1) -> DataFrame:
-    """``r, start, end`` of repeats with a hot anchor, from counts of string hashes."""
+def counted_repeats(anchored: DataFrame, n_hot: int, length: int, prefix: int, step: int = 1) -> DataFrame:
+    """``r, start, end`` of repeats with a hot anchor, from counts of string hashes.
+
+    Strings that a task finds twice among HELD are repeated for certain: it passes
+    on their spans and one summary each. The others travel with their place, packed
+    by buckets of hashes, where all occurrences and summaries of a string meet. So
+    of a string that very many texts hold only summaries are gathered.
+    """
+    buckets = buckets_for(n_hot * (length - prefix) / step / 4)
 
     def strings(batches):
         for batch in batches:
@@ -438,63 +450,62 @@ def counted_repeats(anchored: DataFrame, length: int, prefix: int, step: int = 1
                     if hot:
                         yield r, *hot_strings(utf8(text), hot, length, prefix, step)
 
-    def count(batches):
-        held, size = [], 0
+    def send(batches):
+        held, size, turn = [], 0, 0
 
         def out():
-            a, b = (np.concatenate(x) for x in zip(*held))
-            by = np.lexsort((b, a))
-            a, b = a[by], b[by]
-            cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            return pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(b[cut]), pa.array(np.diff(np.r_[cut, len(a)]))], names=["a", "b", "n"])
-
-        for _, _, a, b in strings(batches):
-            held.append((a.view(np.int64), b.view(np.int64)))
-            size += len(a)
-            if size > 250_000:
+            rows = np.empty(size, _STRING)
+            for name, parts in zip(("r", "start", "a", "b"), zip(*held)):
+                rows[name] = np.concatenate(parts)
+            rows["end"] = 0
+            rows = rows[np.lexsort((rows["b"], rows["a"]))]
+            new = np.r_[True, (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])]
+            first = np.flatnonzero(new)
+            twice = np.diff(np.r_[first, len(rows)]) > 1
+            notes = rows[first[twice]]
+            notes["r"], notes["start"] = 0, NOTE
+            again = np.repeat(twice, np.diff(np.r_[first, len(rows)]))
+            spans = covered(rows["r"][again], rows["start"][again], length)
+            rows = np.concatenate([rows[~again], notes])
+            to = ((rows["a"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            return pack(np.concatenate([rows, spans]), np.r_[to, np.full(len(spans), turn % buckets)])
+
+        for r, at, a, b in strings(batches):
+            if len(at):
+                held.append((np.full(len(at), r), at, a, b))
+                size += len(at)
+            if size > HELD:
                 yield out()
-                held, size = [], 0
+                held, size, turn = [], 0, turn + 1
         if held:
             yield out()
 
-    source = anchored.where(F.exists("at", lambda x: x["hot"])).select("r", "text", "at")
-    repeated = source.transform(map_batches, count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b")
-    repeated = materialise(repeated, "strings")
-    if repeated.count() <= SMALL:
-        rows = repeated.toArrow()
-        known = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("a", "b")])
-        known = known[:, np.lexsort(known[::-1])]
-        sent = anchored.sparkSession.sparkContext.broadcast(known)
-
-        def mark(batches):
-            first, second = sent.value
-            if not len(first):
-                return
-            ties = int(np.diff(np.flatnonzero(np.r_[True, first[1:] != first[:-1], True])).max())
-            for r, at, a, b in strings(batches):
-                a, b = a.view(np.int64), b.view(np.int64)
-                place, ok = np.searchsorted(first, a), np.zeros(len(at), bool)
-                for i in range(ties):  # strings that share the first hash
-                    k = np.minimum(place + i, len(first) - 1)
-                    ok |= (first[k] == a) & (second[k] == b)
-                if ok.any():
-                    start, end = runs_of(at[ok], length)
-                    yield spans_batch([r] * len(start), start, end)
-
-        return source.transform(map_batches, mark, "r bigint, start int, end int")
-
-    def every(batches):
-        for r, at, a, b in strings(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([r] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["r", "start", "a", "b"])
+    def meet(batches):
+        for _, data in whole_buckets(batches):
+            rows = np.frombuffer(b"".join(data), _STRING)
+            done = rows[rows["end"] > 0]
+            rows = rows[rows["end"] == 0]
+            rows = rows[np.lexsort((rows["b"], rows["a"]))]
+            first = np.flatnonzero(np.r_[True, (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])]) if len(rows) else np.zeros(0, np.int64)
+            count = np.diff(np.r_[first, len(rows)])
+            note = rows["start"] == NOTE
+            again = np.repeat((count > 1) | (np.add.reduceat(note, first) > 0 if len(first) else count > 1), count) & ~note
+            found = np.concatenate([done, covered(rows["r"][again], rows["start"][again], length)])
+            yield spans_batch(found["r"], found["start"], found["end"])
 
-    found = source.transform(map_batches, every, "r bigint, start int, a bigint, b bigint").join(repeated, ["a", "b"])
-    return found.select("r", "start", (F.col("start") + length).alias("end"))
+    source = anchored.where(F.exists("at", lambda x: x["hot"])).select("r", "text", "at")
+    sent = source.transform(map_batches, send, "bucket bigint, data binary")
+    return by_bucket(sent, buckets).transform(map_batches, meet, "r bigint, start int, end int")
 
 
-def runs_of(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs covered by strings at sorted ``starts``."""
-    new = np.r_[True, starts[1:] > starts[:-1] + length]
-    return starts[new], starts[np.r_[new[1:], True]] + length
+def covered(r: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Maximal runs covered by strings at ``start`` in the texts ``r``."""
+    by = np.lexsort((start, r))
+    r, start = r[by], start[by]
+    new = np.r_[True, (r[1:] != r[:-1]) | (start[1:] > start[:-1] + length)] if len(r) else np.zeros(0, bool)
+    out = np.zeros(int(new.sum()), _STRING)
+    out["r"], out["start"], out["end"] = r[new], start[new], start[np.r_[new[1:], True]] + length if len(r) else 0
+    return out
 
 
 # --- the operator ----------------------------------------------------------------
@@ -558,8 +569,9 @@ def spans_of(texts: DataFrame, n_bytes: int, length: int, prefix: int, step: int
         own = own.join(F.broadcast(lists.select("r")), "r", "left_semi")
     anchored = materialise(own.join(lists, "r"), "anchored")
     spans = merged_repeats(anchored, n_found, length, prefix, step)
-    if found.where("hot").limit(1).count():
-        spans = spans.unionByName(counted_repeats(anchored, length, prefix, step))
+    n_hot = found.where("hot").count()
+    if n_hot:
+        spans = spans.unionByName(counted_repeats(anchored, n_hot, length, prefix, step))
 
     def merge(batches):
         for batch in batches:
