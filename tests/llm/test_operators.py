@@ -217,12 +217,22 @@ def brute_repeats(texts, length):
 def test_suffixes(spark, docs, hot, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "HOT_IN_TASK", max(2, hot // 8))
+    monkeypatch.setattr(suffixes, "HELD", 400_000 if hot == 64 else 300)
+    monkeypatch.setattr(suffixes, "POSITIONS", 1 << 24 if hot == 64 else 77)
     assert sorted(map(tuple, suffixes.repeats(docs).collect()), key=str) == brute_repeats(rows(), 400)
     texts = [(i, prose(i % 7, 30) + prose(i, 20) + prose(3, 25)) for i in range(30)] + [(90, "ab" * 200), (91, "a" * 90)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     assert sorted(map(tuple, suffixes.repeats(df, 60, 20).collect()), key=str) == brute_repeats(texts, 60)
 
 
+def test_columns_of_any_name(spark):
+    t = prose(1, 80)
+    df = spark.createDataFrame([(1, f"x {t} y", "a", "b", 1), (2, f"z {t} u", "c", "d", 2), (3, None, None, None, 3)], "doc_id long, text string, _digest string, _text string, `r.d` long")
+    rows = {r[0]: r for r in suffixes.remove_repeats(df).collect()}
+    assert [tuple(rows[i])[2:] for i in (1, 2, 3)] == [("a", "b", 1), ("c", "d", 2), (None, None, 3)]
+    assert rows[1].text == "xy" and rows[2].text == "zu" and rows[3].text is None
+
+
 def test_loser_tree_merges_in_order():
     r = random.Random(3)
     runs = [sorted(bytes(r.choice(b"ab") for _ in range(r.randint(0, 9))) for _ in range(r.randint(0, 20))) for _ in range(7)]
