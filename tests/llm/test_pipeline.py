@@ -134,3 +134,54 @@ def test_run_equals_a_plain_version(spark, tmp_path, monkeypatch):
     assert got == {i: (t, len(t)) for i, t in want.items()}
     plain = bpe.encode(spark.createDataFrame(list(want.items()), "doc_id long, text string"))
     assert ids == {x.doc_id: x.ids for x in plain.collect()}
+
+
+def written_tables(spark, tmp_path, docs):
+    """Labels and a benchmark beside ``docs``: ids 100 to 139 are toxic."""
+    r = random.Random(12)
+    words = lambda n: [f"w{r.randint(0, 9**9)}" for _ in range(n)]
+    item = words(20)
+    learnt = [(i, " ".join([*words(40), *(["vile", "nasty", "filthy"] if 100 <= i < 140 else []), *words(40)]), None, "x", 1.5, 2) for i in range(100, 240)]
+    df = spark.createDataFrame([*learnt, *docs(words, item)], "doc_id long, text string, n_chars long, digest string, `r.d` double, k int").repartition(3)
+    spark.createDataFrame([(i, int(100 <= i < 140)) for i in range(100, 240)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(item)), (1, None), (2, ""), (2, "short item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return df
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    made = {}
+
+    def docs(words, item):
+        long = " ".join(words(60_000))
+        made["long"], made["leak"] = long, " ".join([*words(30), *item[3:14], *words(30)])
+        return [
+            (1, None, None, None, None, None), (1, None, None, None, None, None), (2, "", 0, "a", 0.0, 0), (3, " \n", 2, "b", 1.0, 1),
+            (4, long, len(long), "c", 2.0, 2), (5, made["leak"], 0, "d", 3.0, 3), (6, "a short item here", 17, "e", 4.0, 4),
+            (None, "a text without id", 17, None, None, None), (7, "one two three four five six", 27, "f", 5.0, 5), (7, "one two three four five six", 27, "f", 5.0, 5),
+            (8, "one two three four five six", 27, "g", 6.0, 6), (9, "vile nasty filthy", 17, "h", 7.0, 7),
+        ]
+
+    df = written_tables(spark, tmp_path, docs)
+    odd = lambda out: sorted((tuple(x) for x in out.where("doc_id IS NULL OR doc_id < 100").collect()), key=str)
+    rows = odd(df)
+    for stage, gone in [(corpus_pipeline.drop_toxic, {9}), (corpus_pipeline.drop_near_copies, {8}), (corpus_pipeline.remove_repeats, set()), (corpus_pipeline.drop_contaminated, {5, 6})]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, stage.__name__
+        got = odd(out)
+        if stage is corpus_pipeline.remove_repeats:
+            assert [(x[0], *x[3:]) for x in got] == [(x[0], *x[3:]) for x in rows] and {x[1] for x in got} == {x[1] for x in rows}
+        else:
+            assert got == [x for x in rows if x[0] not in gone], stage.__name__
+    ids = corpus_pipeline.encode(spark, df.where("doc_id < 100"), str(tmp_path)).collect()
+    assert len(ids) == len(rows) - 1 and [len(x.ids) for x in ids if x.doc_id in (1, 2, 3)] == [0] * 4
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = written_tables(spark, tmp_path, lambda words, item: []).where("doc_id < 0")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and out.columns == (["doc_id", "ids"] if name == "bpe" else docs.columns), name

@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark's parser reads it: dots and backticks are part of it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -93,16 +98,20 @@ def trim() -> None:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow``, in workers that hold no more memory between tasks than they must."""
+    """``df.mapInArrow``, in workers that hold no more memory between tasks than they must.
+
+    Columns may have any names: Spark looks them up unquoted, so it gets plain ones.
+    """
+    names = df.columns
 
     def bounded(batches):
         frugal()
         try:
-            yield from run(batches)
+            yield from run(b.rename_columns(names) for b in batches)
         finally:
             trim()
 
-    return df.mapInArrow(bounded, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(bounded, schema)
 
 
 def most_frequent(df: DataFrame, n: str, rows: int) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, map_batches, materialise, most_frequent, slices, table, utf8
+from .common import arrow_schema, discard, map_batches, materialise, most_frequent, quoted, slices, table, utf8
 from .graph import components
 
 WORDS = 4
@@ -477,7 +477,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, text:
     """The document with the smallest id of each component, and all that link with nothing."""
     found = classes(docs, percent, words, text, key)
     gone = materialise(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
-    return docs.join(small(gone), key, "left_anti").select(docs.columns)
+    return docs.join(small(gone), key, "left_anti").select(*map(quoted, docs.columns))
 
 
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:

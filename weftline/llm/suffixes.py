@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, materialise, slices, table, utf8
+from .common import discard, map_batches, materialise, quoted, slices, table, utf8
 from .jaccard import CACHE_WORDS, WordHashes
 
 LENGTH = 400
@@ -684,7 +684,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
     values = {text: F.when(F.col(text).isNotNull() & F.col(changed).isNotNull(), F.col(changed)).otherwise(F.col(text))}
     if size in docs.columns:
         values[size] = F.when(F.col(changed).isNotNull(), F.length(changed).cast(docs.schema[size].dataType)).otherwise(F.col(size))
-    return joined.select(*(values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns))
+    return joined.select(*(values[c].alias(c) if c in values else F.col(quoted(c)) for c in docs.columns))
 
 
 def op7_suffixes(spark, sf_dir: str) -> DataFrame:
