@@ -63,7 +63,7 @@ RUN_BYTES = 8 << 20
 POSITIONS = 1 << 24
 #: Strings with a hot anchor that a task compares at a time.
 HELD = 400_000
-#: Rows up to which a side is broadcast; beyond it joins shuffle.
+#: Rows (of fixed size, or counted with their spans) up to which a side is broadcast; beyond it joins shuffle.
 SMALL = 300_000
 
 _ANCHOR = np.dtype([("c", "<u8"), ("r", "<i8"), ("p", "<i4"), ("n", "<i4")])
@@ -625,7 +625,8 @@ class Repeats:
     def affected(self) -> DataFrame:
         """``d, text, spans`` of texts with repeated strings, one of each group of copies among them."""
         spans = self.spans if "by_word" in self.spans.columns else self.spans.withColumn("by_word", F.array().cast(_SPANS))
-        return self.texts.join(small(spans, self.spans.count()), "r").select("d", "text", "spans", "by_word")
+        weight = spans.agg(F.sum(F.size("spans") + F.size("by_word") + 1)).first()[0] or 0  # spans of a row have no bound, so they count too
+        return self.texts.join(small(spans, weight), "r").select("d", "text", "spans", "by_word")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -664,7 +665,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
         raise ValueError(f"runs of under {PREFIX_WORDS} words")
     found = Repeats(docs, length, prefix, text, key, words)
     mark = uuid.uuid4().hex  # no column of docs has such a name
-    own, changed = f"digest_{mark}", f"text_{mark}"
+    own, changed, shortened = f"digest_{mark}", f"text_{mark}", f"shortened_{mark}"
 
     def cut(batches):
         for batch in batches:
@@ -676,11 +677,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
                 yield pa.RecordBatch.from_arrays([pa.array(ds, pa.string()), pa.array(ts, pa.string())], names=[own, changed])
 
     parts = found.affected().transform(map_batches, cut, f"{own} string, {changed} string").join(found.copies.select(F.col("digest").alias(own)), own, "left_anti")
-    whole = found.copies.where("long").select(F.col("digest").alias(own), F.lit("").alias(changed))
-    new = materialise(parts.unionByName(whole), "texts")
+    new = materialise(parts, "texts")
     found.discard()
+    # only digests are broadcast; new texts, whose size has no bound, meet the few rows that get one in a shuffle
+    changes = new.select(own, F.lit(True).alias(shortened)).unionByName(found.copies.where("long").select(F.col("digest").alias(own), F.lit(False).alias(shortened)))
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    joined = docs.withColumn(own, digest).join(small(new, new.count()), own, "left")
+    marked = docs.withColumn(own, digest).join(small(changes, changes.count()), own, "left")
+    cut_rows = marked.where(F.col(shortened)).join(new, own)
+    others = marked.where(~F.coalesce(F.col(shortened), F.lit(False))).withColumn(changed, F.when(F.col(shortened).isNotNull(), F.lit("")))
+    joined = cut_rows.unionByName(others)
     values = {text: F.when(F.col(text).isNotNull() & F.col(changed).isNotNull(), F.col(changed)).otherwise(F.col(text))}
     if size in docs.columns:
         values[size] = F.when(F.col(changed).isNotNull(), F.length(changed).cast(docs.schema[size].dataType)).otherwise(F.col(size))
