@@ -31,6 +31,8 @@ from .common import map_rows
 
 #: Pieces kept by a worker between batches; beyond it the memory is emptied.
 CACHE_PIECES = 100_000
+#: Bytes of text cut into pieces at a time: a piece takes some ten times its bytes while it waits.
+SLICE = 256 << 10
 NONE = np.int64(1 << 40)
 #: Bytes of a piece beyond which it is merged by itself: a round looks at all symbols of a piece, so rounds would take the square of its length.
 LONG = 512
@@ -214,7 +216,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", k
         return run
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs.select(key, text), make, f"`{key}` {kind}, ids array<int>, decoded string")
+    return map_rows(docs.select(key, text), make, f"`{key}` {kind}, ids array<int>, decoded string", SLICE)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -235,7 +237,7 @@ def encode_digests(docs: DataFrame, vocabulary: str | None = None, text: str = "
         return run
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs.select(key, text), make, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_rows(docs.select(key, text), make, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", SLICE)
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
