@@ -614,10 +614,11 @@ class Repeats:
         none = F.array().cast(_SPANS)
         self.spans = spans_of(self.texts, total, length, prefix)
         if words:
-            more = spans_of(coded(self.texts), total, words * CODE, PREFIX_WORDS * CODE, CODE)
+            codes = materialise(coded(self.texts), "codes")  # read twice; written, no task holds a worker for codes and one for anchors
+            more = spans_of(codes, total, words * CODE, PREFIX_WORDS * CODE, CODE)
             both = self.spans.withColumn("by_word", none).unionByName(more.select("r", none.alias("spans"), F.col("spans").alias("by_word")))
             single, self.spans = self.spans, materialise(both.groupBy("r").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "by_word"))), "spans")
-            discard(single, more)
+            discard(single, more, codes)
 
     def discard(self) -> None:
         discard(self.rest, self.spans)
