@@ -195,6 +195,22 @@ def test_jaccard(spark, docs, group, monkeypatch):
     assert sorted(x.doc_id for x in jaccard.keep_one(df).collect()) == sorted({c for _, _, c in brute_components(many)})
 
 
+def test_jaccard_near_a_large_component(spark, monkeypatch):
+    """Nodes that just don't link with a large component make no pair with each of its nodes."""
+    r, base, many = random.Random(3), [f"b{i}" for i in range(120)], []
+    for i in range(240):
+        w, at = list(base), r.randrange(4, 110)
+        w[at] = f"x{i}"
+        if i >= 160:  # one link short of the copies
+            w[at + 2] = f"y{i}"
+        many.append((i, " ".join(w)))
+    verified, verify = [], jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, *rest: verified.append(pairs.count()) or verify(pairs, *rest))
+    df = spark.createDataFrame(many, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jaccard.classes(df).collect()), key=str) == brute_components(many)
+    assert sum(verified) < 2000
+
+
 def test_jaccard_empty(spark, empty):
     assert jaccard.classes(empty).collect() == []
 
