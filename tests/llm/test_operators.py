@@ -241,6 +241,34 @@ def test_suffixes(spark, docs, hot, monkeypatch):
     assert sorted(map(tuple, suffixes.repeats(df, 60, 20).collect()), key=str) == brute_repeats(texts, 60)
 
 
+def brute_runs(texts, words):
+    data = [(i, (t or "").encode().split()) for i, t in texts]
+    count = Counter(tuple(w[p : p + words]) for _, w in data for p in range(len(w) - words + 1))
+    out = []
+    for i, w in data:
+        inside = set()
+        for p in range(len(w) - words + 1):
+            if count[tuple(w[p : p + words])] > 1:
+                inside.update(range(p, p + words))
+        out.append((i, sum(p - 1 not in inside for p in inside), len(inside)))
+    return sorted(out, key=str)
+
+
+def test_passages_of_few_bytes_are_counted(spark, docs, empty):
+    r = random.Random(5)
+    short = lambda n: " ".join(r.choice("abcdefghij") + r.choice("klmnopqrst") for _ in range(n))
+    passages = [short(n) for n in (50, 51, 60)]
+    assert all(len(p) < 400 for p in passages)
+    texts = [(i, f"{short(15)} {p}\n{short(15)}") for i, p in enumerate(passages * 2)] + [(90, passages[2]), (91, passages[2]), (92, None), (93, passages[1])]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for frame, of in ((df, texts), (docs, rows())):
+        got = suffixes.repeats(frame, words=51)
+        assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words"]
+        assert sorted((tuple(x[:5]) for x in got.collect()), key=str) == brute_repeats(of, 400)
+        assert sorted(((x.doc_id, x.n_passages, x.passage_words) for x in got.collect()), key=str) == brute_runs(of, 51)
+    assert suffixes.repeats(empty, words=51).collect() == []
+
+
 def test_columns_of_any_name(spark):
     t = prose(1, 80)
     df = spark.createDataFrame([(1, f"x {t} y", "a", "b", 1), (2, f"z {t} u", "c", "d", 2), (3, None, None, None, 3)], "doc_id long, text string, _digest string, _text string, `r.d` long")
