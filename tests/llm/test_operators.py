@@ -366,6 +366,23 @@ def test_marginals_equal_enumeration():
     assert np.allclose(good, expected)
 
 
+def test_maxent_leaves_no_token_out(monkeypatch):
+    monkeypatch.setattr(maxent, "TOP", 5)
+    words = [b"a", b"b", b"longer-word", b"c.", b"\n", b"d", b"e", b"\xc3\xa9", b"f;"]
+    counts, forms, rare = np.array([9, 8, 7, 6, 5, 4, 3, 2, 2]), maxent.forms(words), np.array([1, 1, 1])  # three tokens of form 0 are not frequent
+    form_n = np.bincount(forms, counts, maxent.FORMS) + np.bincount([0], [rare.sum()], maxent.FORMS)
+    form_v = np.bincount(forms, minlength=maxent.FORMS) + np.bincount([0], [len(rare)], maxent.FORMS)
+    model = maxent.Model(maxent.word_hashes(words), counts, forms, int(form_n.sum()), int(form_v.sum()), form_n, form_v)
+    model.set_classes(np.array([0, 3, 3, 1, 0]))  # 17 clusters have no token
+    model.weights[:] = np.random.default_rng(1).normal(size=model.weights.shape) * 0.3
+    for before in ([], [0], [3, 7], [-1, 2, 8]):
+        # each frequent token, the three others and one unseen token of each form: together they are certain
+        codes = [*range(len(words)), *(-1 - f for f in range(maxent.FORMS))]
+        share = [10 ** model.log10(np.array([*before, c]), np.arange(len(before) + 1) == 0)[-1] for c in codes]
+        share[len(words)] *= 1 + (rare + 1).sum()
+        assert np.isclose(sum(share), 1, atol=1e-5)
+
+
 def test_maxent(spark, docs, empty):
     got = maxent.score(docs).collect()
     t = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or "")) + ["\n"] for i, x in rows()}
