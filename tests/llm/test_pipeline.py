@@ -185,3 +185,14 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0 and out.columns == (["doc_id", "ids"] if name == "bpe" else docs.columns), name
+
+
+def test_steps_begin_with_a_collection_in_the_executors(spark, monkeypatch):
+    from weftline.llm import common
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans  # a local master has one JVM
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    monkeypatch.setattr(common, "REST_S", 0)
+    before = full()
+    assert common.materialise(spark.range(3), "test").count() == 3
+    assert full() > before
