@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftline.llm import bpe, decontaminate, html, jaccard, licenses, maxent, ogg, quality, suffixes, toxicity
@@ -211,6 +213,53 @@ def test_jaccard_near_a_large_component(spark, monkeypatch):
     assert sum(verified) < 2000
 
 
+@pytest.mark.parametrize("together", [1, 300, 128 << 10])
+def test_jaccard_shingles(together, monkeypatch):
+    """Columns hashed together give each text its own shingles, whatever its words."""
+    monkeypatch.setattr(jaccard, "TOGETHER", together)
+    r, words = random.Random(8), ["a", "a\0", "\0", "\0\0", "é", "a\u00a0b", "c\x85d", "e\x1cf", "İ"]
+    words += ["x" * (n - 1) + last for n in (7, 8, 9, 16, 63, 64, 65, 130) for last in "xyz"]
+    texts = [None, "", " \n\t", "one", "two words", "ONE", "one two three", "three\x0btwo\x0cone\rzero "]
+    texts += [" ".join(r.choices(words, k=r.choice([1, 2, 3, 4, 5, 60]))) for _ in range(60)] + [None, "", "one"]
+    for n in (1, 4, 5):
+        expected = []
+        for t in texts:
+            w = (t or "").encode().lower().split()
+            expected.append({(n, *w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {(len(w), *w)} if w else set())
+        got = [g.tolist() for g in jaccard.Shingler(n).sets(pa.array(["not read", *texts])[1:])]
+        assert [len(g) for g in got] == [len(e) for e in expected] and all(g == sorted(set(g)) for g in got)
+        assert all(len({*a} & {*b}) == len(x & y) for a, x in zip(got, expected) for b, y in zip(got, expected))
+
+
+def test_jaccard_shingles_cost_no_step_a_word():
+    texts = [" ".join(f"word{i * 700 + k}" for k in range(700)) for i in range(300)]
+    column = pa.array(texts)
+
+    def least(run):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    # 38 times as long as to cut the words, when a hash was looked up for each; 3 times since
+    assert least(lambda: sum(map(len, jaccard.Shingler().sets(column)))) < 12 * least(lambda: sum(len(t.encode().split()) for t in texts))
+
+
+def test_jaccard_ranks():
+    """The table of leading bits only saves searches: ranks and prefixes are those of a plain lookup."""
+    r = random.Random(6)
+    known = {(r.getrandbits(4) << 60) + r.getrandbits(3): i + 1 for i in range(60)}
+    sets = [sorted({*r.sample(sorted(known), r.randint(0, 20)), *((r.getrandbits(4) << 60) + r.getrandbits(3) for _ in range(r.randint(1, 40)))}) for _ in range(50)]
+    by = sorted(known)
+    for order, at in ((jaccard.Order(np.array(by, np.uint64), np.array([known[g] for g in by])), known), (jaccard.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64)), {})):
+        for s in sets:
+            grams, ranks = order.prefix(np.array(s, np.uint64), 85)
+            expected = sorted(s, key=lambda g: (at.get(g, 0), g))[: len(s) - (85 * len(s) + 99) // 100 + 1]
+            assert grams.tolist() == expected and ranks.tolist() == [at.get(g, 0) for g in expected]
+
+
 def test_jaccard_empty(spark, empty):
     assert jaccard.classes(empty).collect() == []
 
